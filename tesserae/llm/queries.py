@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from tesserae.llm.ann import op10_nearest
+from tesserae.llm.embed_dup import op1_embedding_duplicates
+from tesserae.llm.mixing import OP7_SQL, op7_mixing
+from tesserae.llm.near_dup import op8_near_duplicates
 from tesserae.llm.packing import op3_packing
 from tesserae.llm.token_counts import op4_token_counts
 from tesserae.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op1_embedding_duplicates": op1_embedding_duplicates,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_mixing": op7_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op10_nearest": op10_nearest,
+}
+ORACLES = {
+    "op7_mixing": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
