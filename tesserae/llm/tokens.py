@@ -15,15 +15,20 @@ import re
 import numpy as np
 
 #: Pieces remembered by a worker; beyond it, the table starts anew.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 1_000_000
 #: Bytes of text handled at a time within a batch; longer texts are cut at white space.
 SEGMENT = 1 << 20
 #: White space outside ASCII and the separators 1C to 1F: texts with these go to the library whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 MARK = "\x01"
-JOINED = 4096
+#: Pieces in one text for the library.
+JOINED = 256
 
 PIECES = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+SPACES = frozenset(b" \t\n\v\f\r")
+#: Punctuation that tokenizers of both kinds cut from a preceding letter as one run, and that no special token holds.
+PUNCTUATION = [bytes([c]) for c in b".,;:!?*%&#$"]
+WORD_END = re.compile(rb"(.*[A-Za-z])([.,;:!?*%&#$]+)", re.DOTALL)
 BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
 
 
@@ -67,32 +72,42 @@ class Encoder:
 
     def _learn(self, pieces: set[bytes]) -> None:
         """Puts new pieces into the table."""
-        if len(self.table) + len(pieces) > TABLE_SIZE:
-            self.table.clear()
-        joined, alone = [], []
+        table = self.table
+        # a word and the punctuation after it are tokenized apart
+        ends, fresh = [], set()
         for piece in pieces:
-            lone = MARK.encode() in piece or b"<|" in piece or not self.joinable or (self.kind == "byte" and not piece[:1].isspace())
-            (alone if lone else joined).append(piece)
+            if not (piece[-1:] in PUNCTUATION and (m := WORD_END.fullmatch(piece))):
+                fresh.add(piece)
+                continue
+            ends.append((piece, *m.groups()))
+            fresh.update(m.groups())
+        self._ask(list(fresh.difference(table)))
+        for piece, word, end in ends:
+            table[piece] = table[word] + table[end]
+
+    def _ask(self, pieces: list[bytes]) -> None:
+        """Ids of pieces from the library, many of them in one text where that is safe."""
+        blob = b" ".join(pieces)
+        plain = self.joinable and MARK.encode() not in blob and b"<|" not in blob
+        if self.kind == "byte":
+            alone = [p for p in pieces if p[0] not in SPACES]
+            joined = [p for p in pieces if p[0] in SPACES]
+        else:
+            alone, joined = [], pieces
+        if not plain:
+            odd = [p for p in joined if not self.joinable or MARK.encode() in p or b"<|" in p]
+            alone, joined = alone + odd, list(set(joined).difference(odd))
         for piece, ids in zip(alone, self._ids([p.decode() for p in alone])):
             self.table[piece] = ids.tobytes()
-        groups, size = [[]], 0
-        for piece in joined:
-            if size > JOINED:
-                groups.append([])
-                size = 0
-            groups[-1].append(piece)
-            size += len(piece) + 3
-        if not joined:
-            return
         glue, cut = (f" {MARK} ".encode(), 0) if self.kind == "word" else (f" {MARK}".encode(), 1)
+        groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
         for group, ids in zip(groups, self._ids([glue.join([*g, b""]).decode() for g in groups])):
             ends = np.flatnonzero(ids == self.mark[-1])
             if len(ends) != len(group):
                 raise ValueError("the tokenizer joined a separator with its neighbours")
-            raw, at = ids.tobytes(), 0
-            for piece, end in zip(group, ends.tolist()):
-                self.table[piece] = raw[4 * at : 4 * (end - cut)]
-                at = end + 1
+            raw = ids.tobytes()
+            starts = [0, *(4 * ends + 4).tolist()]
+            self.table.update((piece, raw[lo:hi]) for piece, lo, hi in zip(group, starts, (4 * (ends - cut)).tolist()))
 
     def _segments(self, text: bytes):
         at = 0
@@ -101,44 +116,52 @@ class Encoder:
             at = m.end()
         yield text[at:] if at else text
 
-    def _pieces(self, segment: bytes) -> list[bytes]:
-        return segment.lower().split() if self.kind == "word" else PIECES.findall(segment)
-
-    def _parts(self, text: bytes):
-        """Ids of a text in consecutive lists of byte strings."""
-        if self.kind == "byte" and ODD_SPACE.search(text.decode()):
-            yield [self._ids([text.decode()])[0].tobytes()]
-            return
-        for segment in self._segments(text):
-            pieces = self._pieces(segment)
-            if new := set(pieces).difference(self.table):
-                self._learn(new)
-                if not self.table.keys() >= set(pieces):  # the table started anew
-                    self._learn(set(pieces))
-            yield list(map(self.table.__getitem__, pieces))
-
-    def _learn_batch(self, texts: list[bytes]) -> None:
-        """Learns the new pieces of many short texts in one go."""
-        new: set[bytes] = set()
-        for text in texts:
-            if len(text) <= SEGMENT:
-                new.update(set(self._pieces(text)).difference(self.table))
+    def _known(self, lists: list[list[bytes]]) -> None:
+        """Makes sure that the table holds the pieces of a few lists."""
+        wanted = set().union(*lists)
+        new = wanted.difference(self.table)
+        if len(self.table) + len(new) > TABLE_SIZE:
+            self.table.clear()
+            new = wanted
         if new:
             self._learn(new)
 
+    def _parts(self, texts: list[bytes]):
+        """For each text, its ids in consecutive lists of byte strings; texts is empty or of SEGMENT bytes in all, or one longer text."""
+        split = (lambda t: t.lower().split()) if self.kind == "word" else PIECES.findall
+        if len(texts) == 1 and len(texts[0]) > SEGMENT:
+
+            def long(text):
+                for segment in self._segments(text):
+                    pieces = split(segment)
+                    self._known([pieces])
+                    yield list(map(self.table.__getitem__, pieces))
+
+            yield [self._whole(texts[0])] if self._odd(texts[0]) else long(texts[0])
+            return
+        odd = [self._odd(t) for t in texts]
+        lists = [[] if o else split(t) for t, o in zip(texts, odd)]
+        self._known(lists)
+        for text, o, pieces in zip(texts, odd, lists):
+            yield [self._whole(text)] if o else [list(map(self.table.__getitem__, pieces))]
+
+    def _odd(self, text: bytes) -> bool:
+        return self.kind == "byte" and bool(ODD_SPACE.search(text.decode()))
+
+    def _whole(self, text: bytes) -> list[bytes]:
+        return [self._ids([text.decode()])[0].tobytes()]
+
     def ids(self, texts: list[bytes | None]):
         """Yields the ids of each text."""
         for group in by_bytes(texts):
-            self._learn_batch(group)
-            for text in group:
-                yield b"".join([b"".join(part) for part in self._parts(text)])
+            for parts in self._parts(group):
+                yield b"".join([b"".join(part) for part in parts])
 
     def counts(self, texts: list[bytes | None]):
         """Yields the number of ids of each text, without holding a text's ids."""
         for group in by_bytes(texts):
-            self._learn_batch(group)
-            for text in group:
-                yield sum(sum(map(len, part)) for part in self._parts(text)) // 4
+            for parts in self._parts(group):
+                yield sum(sum(map(len, part)) for part in parts) // 4
 
 
 def by_bytes(texts: list[bytes | None], most: int = SEGMENT):
