@@ -1,11 +1,65 @@
-"""Corpus preparation: filter toxic documents, drop near copies, redact personal data, mix sources, pack."""
+"""Corpus preparation: toxic documents go, one of each group of near copies stays, personal data is redacted, sources are mixed, the rest is packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. Stages write intermediate tables to the shared folder only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm.common import Cuts, read
+from tesserae.llm.mixing import mix, quality_weights
+from tesserae.llm.near_dup import near_duplicates
+from tesserae.llm.packing import pack
+from tesserae.llm.pii import redacted
+from tesserae.llm.tokens import tokenizer_path
+from tesserae.llm.toxicity import train_on_labels, without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, train_on_labels(spark, docs, sf_dir))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group; rows without an id stay."""
+    copies = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(Cuts(spark, "near-copies").write(copies), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; rows that share an id go by the one taken most often."""
+    taken = mix(docs, qualities=quality_weights(read(spark, sf_dir, "labels"))).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("repeats").alias("repeats"))
+    taken = Cuts(spark, "mix").write(taken.filter("repeats > 0"))
+    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return met.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))).select(docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), "word")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_documents),
+]
+
+#: The stages train a classifier and tokenize, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, cuts = read(spark, sf_dir, "documents"), Cuts(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cuts.write(docs)
     return docs
