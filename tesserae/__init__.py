@@ -1,0 +1 @@
+"""Scene-data analytics on Spark: object trees, time-sampled properties, geometry and materials as DataFrames."""

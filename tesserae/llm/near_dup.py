@@ -12,8 +12,10 @@
 3. Groups of candidates are verified on their full sets, in tiles of bounded
    size, and confirmed links give the components.
 
-A pair at the threshold fails step 2 only if fewer than NEED of its K
-retained values agree, which has a probability below 1e-8.
+A document of up to WHOLE shingles has its whole set as a sketch; documents
+that are larger, or could be similar to a larger one, have sketches of K. A
+pair at the threshold fails step 2 only if fewer than NEED of its K retained
+values agree, which has a probability below 1e-8.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tesserae.llm.components import connected_components
 
 #: Retained values of a sketch, and how many two sketches of similar documents share at least.
 K, NEED = 48, 22
+#: Sets up to this size are retained whole and compared exactly, as a passage that many short documents share is most of such a set.
+WHOLE = 160
 #: Documents, and shingles, of a tile.
 TILE_DOCS, TILE_SHINGLES = 256, 400_000
 
@@ -55,8 +59,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.unique(_mixed(s))
 
 
-def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """id, n (size of the set), digest (of the whole set; null if empty), sketch (its k smallest hash values)."""
+def sketches(docs: DataFrame, width: int, k: int, whole: int) -> DataFrame:
+    """id, n (size of the set), digest (of the whole set; null if empty), sketch (its k smallest hash values, or all of up to `whole`)."""
     id_type = docs.dtypes[0][1]
 
     def sketch(batches):
@@ -68,7 +72,7 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                 s = shingle_hashes(text or b"", width)
                 n.append(len(s))
                 digests.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
-                lists.append(s[:k].view(np.int64))
+                lists.append(s[: k if len(s) > whole else whole].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "n", "digest", "sketch"])
 
     return docs.mapInArrow(sketch, f"id {id_type}, n long, digest binary, sketch array<long>")
@@ -145,20 +149,18 @@ def union_estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twice & (rank <= a.shape[1])).sum(axis=1)
 
 
-def _likely(sketch: list[np.ndarray], n: np.ndarray, comp: np.ndarray, percent: int, k: int, need: int):
-    """Pairs of documents of different groups that may reach the threshold."""
+def _likely(sketch: list[np.ndarray], n: np.ndarray, comp: np.ndarray, whole: bool, percent: int, k: int, need: int):
+    """Pairs of documents of different groups that may reach the threshold; if whole, sketches are sets, and they do."""
     shared = overlaps(sketch)
     a, b = np.nonzero(np.triu(shared, 1))
     i, x, y = shared[a, b], np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-    exact = y <= k
-    able = np.where(exact, 100 * i >= percent * (x + y - i), i >= np.where(x <= k, k - x // 4, need))
-    able &= (comp[a] != comp[b]) & (100 * x >= percent * y)
-    a, b, x = a[able], b[able], x[able]
-    full = np.flatnonzero(x >= k)
-    if len(full):
-        block = np.array([s if len(s) == k else np.zeros(k, s.dtype) for s in sketch])
-        poor = full[union_estimates(block[a[full]], block[b[full]]) < need]
-        a, b = np.delete(a, poor), np.delete(b, poor)
+    able = (100 * i >= percent * (x + y - i)) if whole else (i >= need) & (100 * x >= percent * y)
+    able &= comp[a] != comp[b]
+    a, b = a[able], b[able]
+    if len(a) and not whole:
+        block = np.array(sketch)
+        rich = union_estimates(block[a], block[b]) >= need
+        a, b = a[rich], b[rich]
     return a, b
 
 
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     """
     spark, cuts = docs.sparkSession, Cuts(docs.sparkSession, "near-dup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    s = cuts.write(sketches(rows, width, k))
+    s = cuts.write(sketches(rows, width, k, WHOLE))
     named = s.filter("n > 0 and id is not null")
     classes = cuts.write(named.groupBy("digest").agg(F.min("id").alias("rep")))
     reps = named.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["digest", "id"])
@@ -193,44 +195,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 def _candidate_groups(reps: DataFrame, cuts: Cuts, percent: int, k: int, need: int) -> DataFrame:
     """(node, component): documents that estimates connect."""
-    postings = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    lists = cuts.write(postings.groupBy("v").agg(F.count("*").alias("df"), F.min("rep").alias("leader")).filter("df > 1"))
-    postings = cuts.write(postings.join(lists, "v"))
-    enough = F.expr(f"case when n > {k} then {need} else n - n div 4 end")
-    stars = postings.filter("leader <> rep").groupBy("rep", "leader").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= enough)
+    # documents as whole sets, and those that may be similar to one beyond WHOLE by sketches of k
+    small = reps.filter(F.col("n") <= WHOLE).select("rep", "n", F.lit(True).alias("whole"), "sketch")
+    large = reps.filter(100 * F.col("n") > percent * WHOLE).select("rep", "n", F.lit(False).alias("whole"), F.slice("sketch", 1, k).alias("sketch"))
+    views = small.unionByName(large)
+    postings = views.select("rep", "n", "whole", F.explode("sketch").alias("v"))
+    lists = cuts.write(postings.groupBy("v", "whole").agg(F.count("*").alias("df"), F.min("rep").alias("leader")).filter("df > 1"))
+    postings = cuts.write(postings.join(lists, ["v", "whole"]))
+    # first groups: what shares most with the leader of its lists; what they miss, the lists below find
+    enough = F.when(F.col("whole"), 0.75 * F.col("n")).otherwise((k + need) / 2)
+    stars = postings.filter("leader <> rep").groupBy("rep", "leader", "whole").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= enough)
     first = cuts.write(connected_components(stars.select(F.col("rep").alias("a"), F.col("leader").alias("b")), cuts))
 
     # each document's rarest values suffice: similar documents share one of them
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "v"))
-    short = F.expr(f"case when n > {k} then {k - need + 1} else n div 4 + 1 end")
-    rare = postings.withColumn("rank", rank).filter(F.col("rank") <= short).select("rep", "v")
-    rare = cuts.write(rare.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "v", F.coalesce("component", "rep").alias("comp")))
-    mixed = rare.groupBy("v").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    mixed = cuts.write(mixed.select("v", F.ceil(F.col("size") / TILE_DOCS).alias("tiles")))
-    tiled = _tiled(rare.join(mixed, "v"), ["v"]).join(reps, "rep")
+    rank = F.row_number().over(Window.partitionBy("rep", "whole").orderBy("df", "v"))
+    short = F.when(F.col("whole"), F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).otherwise(k - need + 1)
+    # values that no other document shares come first
+    alone = F.when(F.col("whole"), F.col("n")).otherwise(k) - F.count("*").over(Window.partitionBy("rep", "whole"))
+    rare = postings.withColumn("rank", rank + alone).filter(F.col("rank") <= short).select("rep", "whole", "v")
+    rare = cuts.write(rare.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "whole", "v", F.coalesce("component", "rep").alias("comp")))
+    mixed = rare.groupBy("v", "whole").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    mixed = cuts.write(mixed.select("v", "whole", F.ceil(F.col("size") / TILE_DOCS).alias("tiles")))
+    tiled = _tiled(rare.join(mixed, ["v", "whole"])).join(reps, "rep")
+    tiled = tiled.withColumn("sketch", F.when(F.col("whole"), F.col("sketch")).otherwise(F.slice("sketch", 1, k)))
 
     def compare(batches):
-        for g in _groups(batches, ["v", "ti", "tj"]):
+        for g in _groups(batches, ["v", "whole", "ti", "tj"]):
             ids, comp, n = (np.asarray(g[c]) for c in ("rep", "comp", "n"))
             if comp.min() == comp.max():
                 continue
             sketch = [np.array(x, np.int64).view(np.uint64) for x in g["sketch"].to_pylist()]
-            a, b = _likely(sketch, n, comp, percent, k, need)
+            a, b = _likely(sketch, n, comp, g["whole"][0].as_py(), percent, k, need)
             kept = forest(a, b, comp)
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], names=["a", "b"])
 
-    dealt = tiled.select("v", "ti", "tj", "rep", "comp", "n", "sketch").repartition("v", "ti", "tj").sortWithinPartitions("v", "ti", "tj", "rep")
+    dealt = tiled.select("v", "whole", "ti", "tj", "rep", "comp", "n", "sketch").repartition("v", "ti", "tj").sortWithinPartitions("v", "whole", "ti", "tj", "rep")
     likely = dealt.mapInArrow(compare, "a long, b long")
     edges = likely.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return cuts.write(connected_components(edges, cuts))
 
 
-def _tiled(rows: DataFrame, keys: list[str], pairs=None) -> DataFrame:
-    """Deals the rows of large groups (column tiles) to tiles, and each row to the pairs (ti, tj) of tiles that need it."""
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-    spread = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("ti"), F.greatest("tile", o).alias("tj"))))
-    return rows.withColumn("tile", tile).withColumn("at", spread).withColumns({"ti": F.col("at.ti"), "tj": F.col("at.tj")}).drop("at")
+def _tiled(rows: DataFrame, near: bool = False) -> DataFrame:
+    """Deals the rows of large groups (column tiles) to tiles, and each row to the pairs (ti, tj) of tiles that need it; if near, only of a tile with itself and with the first."""
+    tile, last = F.col("tile"), F.col("tiles") - 1
+    others = F.sequence(F.lit(0).cast("long"), last)
+    if near:
+        others = F.when(tile == 0, others).otherwise(F.array(F.lit(0).cast("long"), tile))
+    pairs = F.explode(F.transform(others, lambda o: F.struct(F.least(tile, o).alias("ti"), F.greatest(tile, o).alias("tj"))))
+    return rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("at", pairs).withColumns({"ti": F.col("at.ti"), "tj": F.col("at.tj")}).drop("at")
 
 
 def _verified(rows: DataFrame, reps: DataFrame, groups: DataFrame, cuts: Cuts, width: int, percent: int) -> DataFrame:
@@ -262,15 +275,14 @@ def _verified(rows: DataFrame, reps: DataFrame, groups: DataFrame, cuts: Cuts, w
         dealt = tiled.select("grp", "ti", "tj", "rep", "exact", "text").repartition("grp", "ti", "tj").sortWithinPartitions("grp", "ti", "tj", "rep")
         return cuts.write(dealt.mapInArrow(verify, "a long, b long"))
 
-    near = _tiled(texts, ["grp"]).filter("ti = 0 or ti = tj")
-    links = run(near)
+    links = run(_tiled(texts, near=True))
     large = texts.filter("tiles > 1")
     if large.isEmpty():
         return links
     known = connected_components(links, cuts).select(F.col("node").alias("rep"), F.col("component").alias("known"))
     large = large.drop("exact").join(known, "rep", "left").withColumn("exact", F.coalesce("known", "rep")).drop("known")
     split = cuts.write(large.groupBy("grp").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo < hi").select("grp"))
-    rest = _tiled(large.join(split, "grp"), ["grp"]).filter("ti > 0 and ti < tj")
+    rest = _tiled(large.join(split, "grp")).filter("ti > 0 and ti < tj")
     return links.unionByName(run(rest))
 
 
