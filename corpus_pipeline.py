@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Cuts, read
+from tesserae.llm.common import Cuts, read, unused
 from tesserae.llm.mixing import mix, quality_weights
 from tesserae.llm.near_dup import near_duplicates
 from tesserae.llm.packing import pack
@@ -34,10 +34,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; rows that share an id go by the one taken most often."""
-    taken = mix(docs, qualities=quality_weights(read(spark, sf_dir, "labels"))).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("repeats").alias("repeats"))
-    taken = Cuts(spark, "mix").write(taken.filter("repeats > 0"))
-    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return met.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "repeats"))).select(docs.columns)
+    taken_id, repeats, nth = (unused(n, docs.columns) for n in ("taken_id", "repeats", "nth"))
+    taken = mix(docs, qualities=quality_weights(read(spark, sf_dir, "labels"))).groupBy(F.col("doc_id").alias(taken_id)).agg(F.max("repeats").alias(repeats))
+    taken = Cuts(spark, "mix").write(taken.filter(F.col(repeats) > 0))
+    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(taken_id)))
+    return met.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), repeats))).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ class Cuts:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like `name` that isn't among columns, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text):
     """Array column of the runs of characters other than ASCII white space."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Cuts, read
+from tesserae.llm.common import Cuts, read, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; a context or token counts from this confidence on; doubts added to each context's tokens.
@@ -201,28 +201,29 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with personal data replaced in text_col and all other columns as they are; null texts stay null."""
     cuts = Cuts(docs.sparkSession, "redaction")
     found = personal_data(docs, cuts, id_col, text_col)
-    marked = found.filter(F.size("spans") > 0).select(F.col("id").alias("_found_id"), F.col("mark").alias("_found_mark"), F.col("spans").alias("_spans")).distinct()
-    marked = cuts.write(marked)
     columns = docs.columns
+    mark_col, spans_col, found_id, found_mark = (unused(n, columns) for n in ("mark", "spans", "found_id", "found_mark"))
+    marked = found.filter(F.size("spans") > 0).select(F.col("id").alias(found_id), F.col("mark").alias(found_mark), F.col("spans").alias(spans_col)).distinct()
+    marked = cuts.write(marked)
 
     def mark(batches):
         from xxhash import xxh3_128_hexdigest
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.append_column("_mark", pa.array([xxh3_128_hexdigest((t or "").encode()) for t in texts]))
+            yield batch.append_column(mark_col, pa.array([xxh3_128_hexdigest((t or "").encode()) for t in texts]))
 
     def replace(batches):
         for batch in batches:
-            at, spans = batch.schema.get_field_index(text_col), batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            at, spans = batch.schema.get_field_index(text_col), batch.column(batch.schema.get_field_index(spans_col)).to_pylist()
             texts = [redact(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
             kept = [batch.column(k) if k != at else pa.array(texts, batch.column(at).type) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(kept, names=columns)
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    hashed = docs.mapInArrow(mark, f"{fields}, _mark string")
-    met = hashed.join(marked, F.col(id_col).eqNullSafe(F.col("_found_id")) & (F.col("_mark") == F.col("_found_mark")), "left")
-    return met.select(*columns, "_spans").mapInArrow(replace, fields)
+    hashed = docs.mapInArrow(mark, f"{fields}, `{mark_col}` string")
+    met = hashed.join(marked, F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(mark_col) == F.col(found_mark)), "left")
+    return met.select(*columns, spans_col).mapInArrow(replace, fields)
 
 
 def op9_personal_data(spark, sf_dir):

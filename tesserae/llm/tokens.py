@@ -128,7 +128,8 @@ class Encoder:
 
     def _parts(self, texts: list[bytes]):
         """For each text, its ids in consecutive lists of byte strings; texts is empty or of SEGMENT bytes in all, or one longer text."""
-        split = (lambda t: t.lower().split()) if self.kind == "word" else PIECES.findall
+        # special strings hold "<|" and count in their own case only
+        split = (lambda t: (t if b"<|" in t else t.lower()).split()) if self.kind == "word" else PIECES.findall
         if len(texts) == 1 and len(texts[0]) > SEGMENT:
 
             def long(text):
