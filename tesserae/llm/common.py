@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Narrow rows that a task writes, where their number is known.
+ROWS_A_TASK = 200_000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -35,9 +38,12 @@ class Cuts:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """rows: about how many there are, if known; spares small tables tasks and files that hold little."""
         path = f"{self.root}/{self.n}"
         self.n += 1
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 

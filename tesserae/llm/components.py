@@ -22,11 +22,11 @@ def connected_components(edges: DataFrame, cuts: Cuts) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cuts.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
-        large = cuts.write(e.join(least, "v").select("u", F.col("m").alias("v")).distinct())
-        least2 = cuts.write(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cuts.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), mark[0])
+        large = cuts.write(e.join(least, "v").select("u", F.col("m").alias("v")).distinct(), mark[0])
+        least2 = cuts.write(large.groupBy("u").agg(F.min("v").alias("m")), mark[0])
         small = large.join(least2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cuts.write(small.unionByName(least2.withColumnRenamed("m", "v")).distinct())
+        new = cuts.write(small.unionByName(least2.withColumnRenamed("m", "v")).distinct(), mark[0])
         new_mark = _mark(new)
         for old in (e, least, large, least2):
             cuts.drop(old)
