@@ -56,7 +56,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     s = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         s = s * _A + h[k : len(words) - n + 1 + k]
-    return np.unique(_mixed(s))
+    s = np.sort(_mixed(s))  # and not np.unique, which hashes before it sorts
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def sketches(docs: DataFrame, width: int, k: int, whole: int) -> DataFrame:

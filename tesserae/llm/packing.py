@@ -106,10 +106,10 @@ def pack(docs: DataFrame, path: str, kind: str, end_id: int = 1, size: int = 204
     tasks = max(1, -(-left.count() // MERGED_PIECES))
 
     def merge(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        order = table.sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        order = pa.Table.from_batches(batches).sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
         packer, base = Packer(size, 1 << 62), (MERGED + TaskContext.get().partitionId()) * STRIDE
         placed = [packer.place(n) for n in order["length"].to_pylist()]
         order = order.set_column(5, "sequence_id", pa.array([base + w for w, _ in placed], pa.int64()))

@@ -151,7 +151,7 @@ def document_ids(spark: SparkSession, folder: str, doc_id) -> list[int] | None:
     import zstandard
 
     shards = spark.read.parquet(f"{folder}/shards")
-    entry = F.filter("index", lambda x: x.id == F.lit(doc_id))[0]
+    entry = F.get(F.filter("index", lambda x: x.id == F.lit(doc_id)), F.lit(0))
     row = shards.select(entry.alias("entry"), "blob", "dictionary").filter("entry is not null").select("entry", F.expr("substring(blob, cast(entry.offset as int) + 1, cast(entry.size as int))").alias("frame"), "dictionary").first()
     if row is None:
         return None
