@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import Cuts, read
 from tesserae.llm.near_dup import _groups
-from tesserae.llm.vectors import matrix, unit, usable_vectors
+from tesserae.llm.vectors import matrix, trusted, unit, usable_vectors
 
 #: At most so many pivots, one for each ROWS_A_PIVOT vectors; the vectors with the smallest hashes, a bounded sample.
 PIVOTS, ROWS_A_PIVOT = 128, 64
@@ -36,8 +36,9 @@ def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of one vector with the rows of x, in double precision."""
     with np.errstate(all="ignore"):
-        c = (x @ q) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
-    return np.where(np.isfinite(c), c, unit(x) @ unit(q[None, :])[0])
+        norms = np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1))
+        c = (x @ q) / norms
+    return np.where(trusted(norms) & np.isfinite(c), c, unit(x) @ unit(q[None, :])[0])
 
 
 def choose_pivots(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:

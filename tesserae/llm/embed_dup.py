@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import Cuts, read
 from tesserae.llm.components import connected_components
 from tesserae.llm.near_dup import forest
-from tesserae.llm.vectors import matrix, unit, usable, usable_vectors
+from tesserae.llm.vectors import matrix, trusted, unit, usable, usable_vectors
 
 #: Vectors of a tile, leading dimensions that order tiles, and those that bound them.
 TILE, ORDERING, BOXED = 1024, 4, 8
@@ -78,8 +78,9 @@ def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float)
     if len(near):
         va, vb = a[i[near]], b[j[near]]
         with np.errstate(all="ignore"):
-            cosine = (va * vb).sum(1) / (np.sqrt((va * va).sum(1)) * np.sqrt((vb * vb).sum(1)))
-        cosine = np.where(np.isfinite(cosine), cosine, (ua[i[near]] * ub[j[near]]).sum(1))
+            norms = np.sqrt((va * va).sum(1)) * np.sqrt((vb * vb).sum(1))
+            cosine = (va * vb).sum(1) / norms
+        cosine = np.where(trusted(norms) & np.isfinite(cosine), cosine, (ua[i[near]] * ub[j[near]]).sum(1))
         sure[near] = cosine >= threshold
     return i[sure], j[sure]
 

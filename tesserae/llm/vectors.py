@@ -41,6 +41,11 @@ def matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
+def trusted(norms: np.ndarray) -> np.ndarray:
+    """Whether products of norms are such that no square in them can have overflowed or vanished."""
+    return (norms > 1e-120) & (norms < 1e120)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; scaled by their largest component first, so that squares neither overflow nor vanish."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
