@@ -131,6 +131,15 @@ def bounds_union(spark, sf):
     return geo.union_boxes(boxes, ["label"])
 
 
+@query("A4_bounds_union_all", f"select label, min({E.format(1)}) as min_x, min({E.format(2)}) as min_y, min({E.format(3)}) as min_z, max({E.format(1)}) as max_x, max({E.format(2)}) as max_y, max({E.format(3)}) as max_z from embeddings group by 1")
+def bounds_union_all(spark, sf):
+    """The boxes of all vectors, and besides them inverted ones, which don't count."""
+    p = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 10).alias("g"), point().alias("p")).select("label", "g", "p.*")
+    boxes = geo.bounds(p, ["label", "g"])
+    inverted = boxes.filter("g = 3").withColumns({"min_x": F.col("max_x") + 2, "max_x": F.col("max_x") + 1, "min_y": F.col("min_y") - 9, "max_z": F.col("max_z") + 9})
+    return geo.union_boxes(boxes.unionByName(inverted), ["label"])
+
+
 @query("A11_dedup", "select count(*) as stored, count(distinct text) as distinct_keys, sum(strlen(text))::bigint - (select sum(strlen(text)) from (select distinct text from documents))::bigint as saved from documents")
 def dedup(spark, sf):
     d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
