@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
@@ -36,6 +36,23 @@ def walk(objects: DataFrame) -> DataFrame:
     return keyed.drop("part").join(n, "path", "left").select("path", "parent_path", (depth_of(F.col("path"))).alias("depth"), F.coalesce("n_children", F.lit(0)).alias("n_children"), "sort_key")
 
 
+def numbered(rows: DataFrame, key: str, name: str, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds name: the place of each row, from 1, in the order of a unique key.
+
+    Rows are dealt by ranges of the key and numbered within each; sums of the
+    ranges' sizes, a number for each, give where a range begins.
+    """
+    cut = cut or (lambda df: df.checkpoint())
+    dealt = cut(rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    begins, at = [], 0
+    for r in dealt.groupBy("range").count().orderBy("range").collect():
+        begins.append((r["range"], at))
+        at += r["count"]
+    begins = rows.sparkSession.createDataFrame(begins, "range int, begin long")
+    within = F.row_number().over(Window.partitionBy("range").orderBy(key))
+    return dealt.withColumn("within", within).join(F.broadcast(begins), "range").withColumn(name, F.col("begin") + F.col("within")).drop("range", "begin", "within")
+
+
 def carry_down(objects: DataFrame, start: dict[str, Column], step: dict[str, Column]) -> DataFrame:
     """Adds columns that depend on the parent's: start at the top, then step, where up_<name> is the parent's value."""
     top = F.col("depth") == 1

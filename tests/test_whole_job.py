@@ -1,6 +1,7 @@
 """Queries that are to cover all rows; tests/test_queries.py compares their results with SQL."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.plans import registry
 
@@ -12,3 +13,31 @@ PROBED = "T2_floor_index T2_floor_uniform T2_floor_cyclic T3_ceil_index T4_near_
 def test_every_event_is_a_probe(spark, name):
     events = spark.read.parquet(f"{SF}/events.parquet").count()
     assert registry.QUERIES[f"{name}_all"](spark, SF).select("event_id").distinct().count() == events
+
+
+def test_the_whole_tree(spark):
+    from tesserae.operators import hierarchy as tree
+    from tesserae.plans.bindings import objects
+
+    o = objects(spark, SF)
+    n = o.count()
+    for name in ("R11_merkle_all", "C2_tree_listing_all", "R10_compound_walk_all"):
+        assert registry.QUERIES[name](spark, SF).select("path").distinct().count() == n
+    # an order that changes alters the digests of all above it, and of nothing else
+    o = o.filter("path like '/r0/%' or parent_path = '/'").withColumn("data", F.col("ord").cast("string"))
+    order = o.filter("path like '%/o%'").orderBy("path").first()["path"]
+    digests = lambda df: {r["path"]: r["digest"] for r in tree.merkle(df).collect()}
+    a, b = digests(o), digests(o.withColumn("data", F.when(F.col("path") == order, "changed").otherwise(F.col("data"))))
+    parts = order.split("/")
+    assert {p for p in a if a[p] != b[p]} == {"/".join(parts[:k]) for k in range(2, 6)}
+
+
+def test_numbering_in_ranges(spark):
+    from tesserae.operators import hierarchy as tree
+    from tesserae.plans.tree_queries import kept
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("key"))
+    seen = []
+    got = tree.numbered(rows, "key", "line", cut=lambda df: seen.append(kept(df)) or seen[-1])
+    assert all(r["line"] == r["key"] + 1 for r in got.collect()) and got.count() == 1000
+    assert tree.numbered(rows.limit(0), "key", "line", cut=kept).collect() == []
