@@ -34,6 +34,20 @@ def face_normal(p0: Column, p1: Column, p2: Column) -> Column:
     return F.when(known, n).otherwise(la.vec(F.lit(0), F.lit(1), F.lit(0)))
 
 
+def triangle(a: Column, b: Column, c: Column) -> Column:
+    """struct(area, min_x .. max_z, center_x .. center_z, box_area, longest_axis) of a triangle; box_area is the surface of its box, ties between axes go to the first."""
+    n = la.cross(la.sub(b, a), la.sub(c, a))
+    of = lambda f, x: f(a[x], b[x], c[x])
+    dx, dy, dz = (of(F.greatest, x) - of(F.least, x) for x in "xyz")
+    return F.struct(
+        F.round(F.sqrt(la.dot(n, n)) / 2, 6).alias("area"),
+        *(of(f, x).alias(f"{name}_{x}") for name, f in (("min", F.least), ("max", F.greatest)) for x in "xyz"),
+        *(F.round((a[x] + b[x] + c[x]) / 3, 6).alias(f"center_{x}") for x in "xyz"),
+        (2 * (dx * dy + dy * dz + dz * dx)).alias("box_area"),
+        F.when((dx >= dy) & (dx >= dz), 0).when(dy >= dz, 1).otherwise(2).alias("longest_axis"),
+    )
+
+
 def bounds(df: DataFrame, by: list[str], x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """Smallest box of the points of each group; NaN and null coordinates don't count."""
     real = {c: F.when(~F.isnan(c), F.col(c)) for c in (x, y, z)}

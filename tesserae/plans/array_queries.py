@@ -237,6 +237,21 @@ def triangle_area(spark, sf):
     return t.select("face", F.round(F.sqrt(la.dot(n, n)) / 2, 6).alias("area"))
 
 
+BOX = ", ".join(f"{f}(a.{x}, b.{x}, c.{x}) as {name}_{x}" for name, f in (("min", "least"), ("max", "greatest")) for x in "xyz")
+
+
+@query("G14_triangle_area_all", f"""with {CORNERS}, t as (select a.face, b.corner - 1 as triangle, b.x - a.x as ux, b.y - a.y as uy, b.z - a.z as uz, c.x - a.x as vx, c.y - a.y as vy, c.z - a.z as vz, a.x + b.x + c.x as sx, a.y + b.y + c.y as sy, a.z + b.z + c.z as sz, {BOX}
+  from corners a join corners b on a.face = b.face join corners c on c.face = b.face and c.corner = b.corner + 1 where a.corner = 1 and b.corner > 1),
+n as (select *, uy * vz - uz * vy as nx, uz * vx - ux * vz as ny, ux * vy - uy * vx as nz, max_x - min_x as dx, max_y - min_y as dy, max_z - min_z as dz from t)
+select face, triangle, round(sqrt(nx * nx + ny * ny + nz * nz) / 2, 6) as area, min_x, min_y, min_z, max_x, max_y, max_z, round(sx / 3, 6) as center_x, round(sy / 3, 6) as center_y, round(sz / 3, 6) as center_z,
+  2 * (dx * dy + dy * dz + dz * dx) as box_area, case when dx >= dy and dx >= dz then 0 when dy >= dz then 1 else 2 end as longest_axis from n""")
+def triangle_area_all(spark, sf):
+    """Area, box, centroid, surface of the box and its longest axis (0 to 2) of each triangle of each polygon's fan."""
+    polygons = corners(spark, sf).groupBy("face").agg(F.array_sort(F.collect_list(F.struct("corner", "x", "y", "z"))).alias("c"))
+    fans = polygons.select("face", F.posexplode(geo.fan(F.col("c"))).alias("k", "t"))
+    return fans.select("face", (F.col("k") + 1).alias("triangle"), geo.triangle(F.col("t.a"), F.col("t.b"), F.col("t.c")).alias("g")).select("face", "triangle", "g.*")
+
+
 @query("G6_smooth_normals", f"""with {CORNERS}, c as (select face % 20 as mesh, face * 100 + corner as corner, x, y, z, case (face + corner) % 3 when 0 then 1.0 else 0.0 end as nx, case (face + corner) % 3 when 1 then 1.0 else 0.0 end as ny from corners),
 d as (select *, case when nx = 0 and ny = 0 then 1.0 else 0.0 end as nz from c),
 k as (select distinct mesh, x, y, z, nx, ny, nz from d),

@@ -41,3 +41,9 @@ def test_numbering_in_ranges(spark):
     got = tree.numbered(rows, "key", "line", cut=lambda df: seen.append(kept(df)) or seen[-1])
     assert all(r["line"] == r["key"] + 1 for r in got.collect()) and got.count() == 1000
     assert tree.numbered(rows.limit(0), "key", "line", cut=kept).collect() == []
+
+
+def test_every_triangle_of_a_fan(spark):
+    corners = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey").count()
+    expected = corners.agg(F.sum(F.greatest(F.col("count") - 2, F.lit(0)))).first()[0]
+    assert registry.QUERIES["G14_triangle_area_all"](spark, SF).select("face", "triangle").distinct().count() == expected
