@@ -53,10 +53,14 @@ def change_runs(samples: DataFrame) -> DataFrame:
 
 
 def equivalent_samplings(samplings: DataFrame) -> DataFrame:
-    """(ts_index, same_as): the smallest index of an equivalent sampling. Candidates meet on kind and number of times, and on rounded numbers in two shifted grids."""
+    """(ts_index, same_as): the smallest index of an equivalent sampling. Equal descriptors count once, as the smallest index; those that differ meet on kind and number of times, and on rounded numbers in two shifted grids."""
+    descriptor = ["kind", "tpc", "start", "times"]
+    distinct = samplings.groupBy(descriptor).agg(F.min("ts_index").alias("ts_index"))
     grid = lambda shift: F.array(F.floor(F.coalesce("tpc", F.lit(0.0)) * 1e9 + shift), F.floor(F.coalesce("start", F.lit(0.0)) * 1e9 + shift), F.floor(F.coalesce(F.try_element_at("times", F.lit(1)), F.lit(0.0)) * 1e9 + shift))
-    keyed = samplings.withColumn("cell", F.explode(F.array(F.struct(F.lit(0).alias("g"), grid(0.0).alias("at")), F.struct(F.lit(1).alias("g"), grid(0.5).alias("at"))))).withColumn("k", F.size("times"))
+    keyed = distinct.withColumn("cell", F.explode(F.array(F.struct(F.lit(0).alias("g"), grid(0.0).alias("at")), F.struct(F.lit(1).alias("g"), grid(0.5).alias("at"))))).withColumn("k", F.size("times"))
     a, b = (keyed.select("cell", "kind", "k", *(F.col(c).alias(f"{c}_{s}") for c in ("ts_index", "tpc", "start", "times"))) for s in "ab")
     met = a.join(b, ["cell", "kind", "k"]).filter("ts_index_b <= ts_index_a")
     same = ts.equivalent(*(F.col(c) for c in ("kind", "tpc_a", "start_a", "times_a", "kind", "tpc_b", "start_b", "times_b")))
-    return met.filter(same).groupBy(F.col("ts_index_a").alias("ts_index")).agg(F.min("ts_index_b").alias("same_as"))
+    named = met.filter(same).groupBy("kind", *(F.col(f"{c}_a") for c in descriptor[1:])).agg(F.min("ts_index_b").alias("same_as")).withColumnRenamed("kind", "kind_a")
+    alike = [F.col(c).eqNullSafe(F.col(f"{c}_a")) for c in descriptor]
+    return samplings.join(named, alike).groupBy("ts_index").agg(F.min("same_as").alias("same_as"))

@@ -47,3 +47,13 @@ def test_every_triangle_of_a_fan(spark):
     corners = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_orderkey").count()
     expected = corners.agg(F.sum(F.greatest(F.col("count") - 2, F.lit(0)))).first()[0]
     assert registry.QUERIES["G14_triangle_area_all"](spark, SF).select("face", "triangle").distinct().count() == expected
+
+
+def test_equal_samplings_meet_once(spark):
+    """200,000 samplings with 4 descriptors, of which two differ by less than the tolerance; pairs of rows would be 10 ** 10."""
+    from tesserae.operators.selection import equivalent_samplings
+
+    k = F.col("id")
+    rows = spark.range(200_000).select(k.alias("ts_index"), F.lit("uniform").alias("kind"), F.element_at(F.array(*map(F.lit, (1.0, 1.0 + 1e-12, 2.0, 3.0))), (k % 4 + 1).cast("int")).alias("tpc"), F.lit(0.0).alias("start"), F.array().cast("array<double>").alias("times"))
+    got = equivalent_samplings(rows).groupBy(F.col("ts_index") % 4, "same_as").count().collect()
+    assert {tuple(r) for r in got} == {(0, 0, 50_000), (1, 0, 50_000), (2, 2, 50_000), (3, 3, 50_000)}
