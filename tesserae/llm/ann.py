@@ -41,6 +41,17 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(trusted(norms) & np.isfinite(c), c, unit(x) @ unit(q[None, :])[0])
 
 
+def copies(ids: np.ndarray, code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest distinct ids of each code (0, 1, ..), most at most: all in one array, and where those of a code begin."""
+    order = np.lexsort((ids, code))
+    c, i = code[order], ids[order]
+    new = np.append(True, (c[1:] != c[:-1]) | (i[1:] != i[:-1]))
+    c, i = c[new], i[new]
+    few = np.arange(len(c)) - np.searchsorted(c, c) < most
+    c, i = c[few], i[few]
+    return i, np.searchsorted(c, np.arange(c[-1] + 2))
+
+
 def choose_pivots(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
     """Unit pivots of each dimension: its distinct vectors with the smallest hashes, most at most."""
     counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
@@ -62,7 +73,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOT
     vectors of another dimension than the query's are no candidates. Rows
     that share an id are one candidate: its best. Other columns are not
     read. Needs integer ids. Every vector is indexed; pivots are a bounded
-    sample. Queries that find fewer than k read all files instead.
+    sample. Equal vectors of a block are ranked once, so copies push nothing
+    out of the front. Queries that find fewer than k read all files instead.
     """
     cuts = Cuts(vectors.sparkSession, "permutation-index")
     rows = cuts.write(usable_vectors(vectors, id_col, vec_col))
@@ -116,18 +128,22 @@ def _search(rows: DataFrame, queries: DataFrame, chosen: dict, k: int, posted: i
             if asks.all() or not asks.any():
                 continue
             pivots = chosen[g["dim"][0].as_py()]
-            held, hx = ids[~asks], x[~asks]
-            ranks = permutations(x, pivots)
-            hr, out = ranks[~asks], []
-            front = max(LEAST, int(np.ceil(reranked * len(held))))
-            for q, qx, qr in zip(ids[asks], x[asks], ranks[asks]):
-                if front < len(held):
-                    far = np.abs(hr - qr).sum(axis=1, dtype=np.int32)
-                    at = np.argpartition(far, front - 1)[:front]
+            # equal vectors count once, with as many ids as can be among the nearest; those with smaller ids come first
+            vec = g["vec"].filter(pa.array(~asks)).combine_chunks().dictionary_encode()
+            held, starts = copies(ids[~asks], np.asarray(vec.indices), k + 1)
+            hx = matrix(vec.dictionary)
+            hr, ranks, out = permutations(hx, pivots), permutations(x[asks], pivots), []
+            front, place = max(LEAST, int(np.ceil(reranked * len(hx)))), np.arange(len(hx))
+            for q, qx, qr in zip(ids[asks], x[asks], ranks):
+                if front < len(hx):
+                    far = np.abs(hr - qr).sum(axis=1, dtype=np.int64)
+                    near = np.argpartition(far * len(hx) + place, front - 1)[:front]
                 else:
-                    at = np.arange(len(held))
-                at = at[held[at] != q]
-                c = cosines(qx, hx[at])
+                    near = place
+                times = starts[near + 1] - starts[near]
+                at = np.repeat(starts[near] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                c = np.repeat(cosines(qx, hx[near]), times)
+                at, c = at[held[at] != q], c[held[at] != q]
                 best = np.lexsort((held[at], -c))
                 _, first = np.unique(held[at][best], return_index=True)
                 best = best[np.sort(first)][:k]

@@ -49,3 +49,27 @@ def test_license_headers_and_full_texts(spark):
     for k, name in enumerate(BODIES):
         assert (got[100 + k]["own_license"], got[100 + k]["is_license_file"]) == (name, True)
         assert (got[200 + k]["license"], got[200 + k]["license_dir"]) == (name, f"/files/{name}")
+
+
+def test_nearest_among_many_copies(spark):
+    """A file holds far more equal vectors than are reranked; ties go to the smallest ids."""
+    import brute
+    import numpy as np
+
+    from tesserae.llm.ann import LEAST, nearest
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[rng.random(len(x)) < 1 / 3] = x[0]
+    ids = rng.permutation(len(x)).tolist()
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)]
+    copied = {i for i, v in zip(ids, x) if (v == x[0]).all()}
+    assert len(copied) > 5 * LEAST
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    asked = [q for q in got if q in copied]
+    assert len(asked) > 20 and all(got[q] == sorted(copied - {q})[:5] for q in asked)
+    expected = brute.nearest(rows)
+    others = [q for q in expected if q not in copied]
+    assert sum(len(set(got[q]) & {i for i, _ in expected[q]}) for q in others) >= 0.9 * 5 * len(others)
