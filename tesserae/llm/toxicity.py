@@ -25,6 +25,9 @@ BEGINNINGS = (4, 5, 6)
 #: Strength of the penalty on weights, and steps of the fit.
 PENALTY, STEPS = 0.3, 150
 
+#: Log odds of a category that no label tells of: nothing is in it.
+UNKNOWN = -30.0
+
 #: Lower case for A to Z; white space for other ASCII characters than letters and digits.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -41,7 +44,7 @@ class Chain:
     def __init__(self, names: list[str]):
         self.names = names
         self.weights: list[dict[bytes, np.ndarray]] = [{} for _ in range(1 + len(BEGINNINGS))]
-        self.bias = np.zeros(len(names))
+        self.bias = np.full(len(names), UNKNOWN)
         self.earlier = np.zeros((len(names), len(names)))  # [later, earlier], on log odds
 
     def scores(self, texts) -> np.ndarray:
@@ -128,6 +131,8 @@ def fit_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds: i
         y, use = positive[:, c], known[:, c]
         weights[:, c], e, chain.bias[c] = fit_linear(x, odds, y, use)
         chain.earlier[c, : len(e)] = e
+        if not use.any():
+            chain.bias[c] = UNKNOWN
         held = np.zeros(len(texts))
         if c + 1 < len(names):
             for f in range(folds):
@@ -144,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SA
 
     labels: doc_id and a column of 0, 1 or null for each name; a document
     with several rows counts as positive if any says so. Texts longer than
-    64 kB are left out of the sample. Without labelled rows every
-    probability is 0.5.
+    64 kB are left out of the sample. A category without labels in the sample
+    has probability 0 for every text, so a chain that ends in it rejects
+    nothing.
     """
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max(n).cast("double").alias(n) for n in names))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

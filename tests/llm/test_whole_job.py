@@ -73,3 +73,14 @@ def test_nearest_among_many_copies(spark):
     expected = brute.nearest(rows)
     others = [q for q in expected if q not in copied]
     assert sum(len(set(got[q]) & {i for i, _ in expected[q]}) for q in others) >= 0.9 * 5 * len(others)
+
+
+@pytest.mark.parametrize("case", ["empty", "all null", "no text"])
+def test_nothing_is_toxic_without_labels(spark, case):
+    from tesserae.llm.toxicity import toxicity, train, without_toxic
+
+    docs = spark.createDataFrame([(k, f"some words {k % 3} of a text") for k in range(40)] + [(None, None)], "doc_id long, text string")
+    rows = [] if case == "empty" else [(k if case == "all null" else 1000 + k, k % 2, None if case == "all null" else 1) for k in range(40)]
+    chain = train(docs, spark.createDataFrame(rows, "doc_id long, low_quality int, toxic int"), ["low_quality", "toxic"])
+    assert without_toxic(docs, chain).count() == 41
+    assert toxicity(docs, chain).filter("rejected or p_toxic > 0").count() == 0
