@@ -6,7 +6,7 @@ kept. Stages write intermediate tables to the shared folder only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Cuts, read, unused
@@ -23,9 +23,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without an id stay."""
-    copies = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(Cuts(spark, "near-copies").write(copies), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near copies: that with the smallest id (rows without an id come last), then key, then values of the other columns.
+
+    A document is the rows with one id and one text; the key is a hash of
+    both. Texts without words have no copies and stay.
+    """
+    cuts, (key, nth) = Cuts(spark, "near-copies"), (unused(n, docs.columns) for n in ("key", "nth"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed, id_col=key).filter("n_shingles > 0").groupBy(F.col(key).alias("key"), "component_id").agg(F.count("*").alias("rows"))
+    found = cuts.write(found)
+    groups = found.groupBy("component_id").agg(F.sum("rows").alias("n")).filter("n > 1").select("component_id")
+    members = found.join(groups, "component_id", "left_semi")
+    ids = keyed.select(F.col(key).alias("key"), "doc_id")
+    members = cuts.write(members.join(ids, "key").groupBy("key", "component_id", "rows").agg(F.min("doc_id").alias("id")))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    members = cuts.write(members.join(first, "component_id").select(F.col("key").alias(key), "rows", (F.col("key") == F.col("first.key")).alias("stays")))
+    kept = keyed.join(members.filter("not stays").select(key), key, "left_anti")
+    repeated = members.filter("stays and rows > 1").select(key)
+    if not repeated.isEmpty():
+        again = kept.join(repeated, key, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*docs.columns)))
+        kept = kept.join(repeated, key, "left_anti").unionByName(again.filter(F.col(nth) == 1).drop(nth))
+    return kept.select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

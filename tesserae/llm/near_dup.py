@@ -30,6 +30,8 @@ from tesserae.llm.components import connected_components
 
 #: Retained values of a sketch, and how many two sketches of similar documents share at least.
 K, NEED = 48, 22
+#: Least similarity for which NEED holds.
+LEAST_PERCENT = 80
 #: Sets up to this size are retained whole and compared exactly, as a passage that many short documents share is most of such a set.
 WHOLE = 160
 #: Documents, and shingles, of a tile.
@@ -173,8 +175,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     component_id). Sets without words (null, empty or blank text) link with
     nothing. Rows with a null id take no part: component_id null, kept true.
     Rows that share an id are one document: a link of any of them counts.
-    Other columns are not read. Needs integer ids.
+    Other columns are not read. Needs integer ids, and a percent of 80 at
+    least, for which K and NEED are chosen.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be {LEAST_PERCENT} at least, as sketches of {K} values lose links below")
     spark, cuts = docs.sparkSession, Cuts(docs.sparkSession, "near-dup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     s = cuts.write(sketches(rows, width, k, WHOLE))

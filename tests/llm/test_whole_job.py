@@ -84,3 +84,24 @@ def test_nothing_is_toxic_without_labels(spark, case):
     chain = train(docs, spark.createDataFrame(rows, "doc_id long, low_quality int, toxic int"), ["low_quality", "toxic"])
     assert without_toxic(docs, chain).count() == 41
     assert toxicity(docs, chain).filter("rejected or p_toxic > 0").count() == 0
+
+
+def test_one_row_of_each_group_of_copies(spark):
+    """Rows that repeat, rows without an id, and an id with a clean text besides a copy."""
+    import corpus_pipeline as p
+
+    copy, other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, copy, "x"), (2, copy, "x"), (2, other, "x"), (3, third, "z"), (3, third, "y"), (3, third, "y"), (None, third + " end", "x")]
+    rows += [(None, "no id but words enough to be a text", s) for s in "ba"] + [(None, None, "x"), (None, "", "x"), (5, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit("k")).repartition(3)
+    got = dict(p.STAGES)["near_dedup"](spark, docs, None)
+    assert got.columns == docs.columns
+    expected = [(1, copy, "x"), (2, other, "x"), (3, third, "y"), (None, "no id but words enough to be a text", "a"), (None, None, "x"), (None, "", "x"), (5, "", "x")]
+    assert sorted(map(str, (tuple(r)[:3] for r in got.collect()))) == sorted(map(str, expected))
+
+
+def test_low_percent_is_refused(spark):
+    from tesserae.llm.near_dup import near_duplicates
+
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=70)
