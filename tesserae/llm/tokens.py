@@ -5,20 +5,27 @@ a run of ASCII white space that follows another character. Most pieces recur
 (words do), so each worker keeps a bounded table from piece to ids and only
 new pieces go to the library, many per call, between separators that can't
 merge with their neighbours. The ids equal those of one call on the text.
+Long texts are cut into segments at white space or after ideographic
+punctuation; only a longer run without either goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces remembered by a worker; beyond it, the table starts anew.
-TABLE_SIZE = 1_000_000
+#: Bytes of the pieces that a worker remembers, with their ids; beyond it, the table starts anew. Longer pieces than LONGEST are never kept.
+TABLE_BYTES, LONGEST = 32 << 20, 64
+#: Bytes that Python takes for an entry besides its piece and ids, about.
+ENTRY = 170
 #: Bytes of text handled at a time within a batch; longer texts are cut at white space.
 SEGMENT = 1 << 20
-#: White space outside ASCII and the separators 1C to 1F: texts with these go to the library whole.
+#: White space outside ASCII and the separators 1C to 1F: segments with these go to the library whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 MARK = "\x01"
 #: Pieces in one text for the library.
@@ -29,7 +36,10 @@ SPACES = frozenset(b" \t\n\v\f\r")
 #: Punctuation that tokenizers of both kinds cut from a preceding letter as one run, and that no special token holds.
 PUNCTUATION = [bytes([c]) for c in b".,;:!?*%&#$"]
 WORD_END = re.compile(rb"(.*[A-Za-z])([.,;:!?*%&#$]+)", re.DOTALL)
-BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])")
+#: Where a long text may be cut: before white space, or between ideographic punctuation and a Chinese character or kana.
+BOUNDARY = re.compile(rb"[^ \t-\r](?=[ \t-\r])|(?:\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f])(?=[\xe5-\xe8]|\xe4[\xb8-\xbf]|\xe3(?:\x81[\x81-\xbf]|\x82[\x80-\x96\xa1-\xbf]|\x83[\x80-\xba]))")
+#: The same for texts with other white space than ASCII.
+PLAIN_BOUNDARY = re.compile(rb"[A-Za-z0-9](?= [A-Za-z0-9])")
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,6 +67,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.table: dict[bytes, bytes] = {}
+        self.held, self.long = 0, []
         self.mark = self._ids([f" {MARK}"])[0]
         self.joinable = len(self.mark) == (1 if kind == "word" else 2)
 
@@ -73,6 +84,7 @@ class Encoder:
     def _learn(self, pieces: set[bytes]) -> None:
         """Puts new pieces into the table."""
         table = self.table
+        first = len(table)
         # a word and the punctuation after it are tokenized apart
         ends, fresh = [], set()
         for piece in pieces:
@@ -84,6 +96,11 @@ class Encoder:
         self._ask(list(fresh.difference(table)))
         for piece, word, end in ends:
             table[piece] = table[word] + table[end]
+        for piece, ids in islice(table.items(), first, None):
+            if len(piece) > LONGEST:
+                self.long.append(piece)
+            else:
+                self.held += len(piece) + len(ids) + ENTRY
 
     def _ask(self, pieces: list[bytes]) -> None:
         """Ids of pieces from the library, many of them in one text where that is safe."""
@@ -103,26 +120,30 @@ class Encoder:
         groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
         for group, ids in zip(groups, self._ids([glue.join([*g, b""]).decode() for g in groups])):
             ends = np.flatnonzero(ids == self.mark[-1])
-            if len(ends) != len(group):
-                raise ValueError("the tokenizer joined a separator with its neighbours")
+            if len(ends) != len(group):  # a separator has merged with its neighbours
+                self.table.update((piece, x.tobytes()) for piece, x in zip(group, self._ids([p.decode() for p in group])))
+                continue
             raw = ids.tobytes()
             starts = [0, *(4 * ends + 4).tolist()]
             self.table.update((piece, raw[lo:hi]) for piece, lo, hi in zip(group, starts, (4 * (ends - cut)).tolist()))
 
-    def _segments(self, text: bytes):
+    def _segments(self, text: bytes, boundary: re.Pattern, size: int = SEGMENT):
         at = 0
-        while len(text) - at > SEGMENT and (m := BOUNDARY.search(text, at + SEGMENT)):
+        while len(text) - at > size and (m := boundary.search(text, at + size)):
             yield text[at : m.end()]
             at = m.end()
         yield text[at:] if at else text
 
     def _known(self, lists: list[list[bytes]]) -> None:
         """Makes sure that the table holds the pieces of a few lists."""
+        for piece in self.long:
+            self.table.pop(piece, None)
+        self.long = []
         wanted = set().union(*lists)
         new = wanted.difference(self.table)
-        if len(self.table) + len(new) > TABLE_SIZE:
+        if new and self.held > TABLE_BYTES:
             self.table.clear()
-            new = wanted
+            self.held, new = 0, wanted
         if new:
             self._learn(new)
 
@@ -133,12 +154,16 @@ class Encoder:
         if len(texts) == 1 and len(texts[0]) > SEGMENT:
 
             def long(text):
-                for segment in self._segments(text):
+                odd = self._odd(text)
+                for segment in self._segments(text, PLAIN_BOUNDARY if odd else BOUNDARY):
+                    if odd and self._odd(segment):
+                        yield self._whole(segment)
+                        continue
                     pieces = split(segment)
                     self._known([pieces])
                     yield list(map(self.table.__getitem__, pieces))
 
-            yield [self._whole(texts[0])] if self._odd(texts[0]) else long(texts[0])
+            yield long(texts[0])
             return
         odd = [self._odd(t) for t in texts]
         lists = [[] if o else split(t) for t, o in zip(texts, odd)]
@@ -152,20 +177,26 @@ class Encoder:
     def _whole(self, text: bytes) -> list[bytes]:
         return [self._ids([text.decode()])[0].tobytes()]
 
-    def ids(self, texts: list[bytes | None]):
+    def ids(self, texts: Iterable[bytes | None]):
         """Yields the ids of each text."""
         for group in by_bytes(texts):
             for parts in self._parts(group):
                 yield b"".join([b"".join(part) for part in parts])
 
-    def counts(self, texts: list[bytes | None]):
+    def counts(self, texts: Iterable[bytes | None]):
         """Yields the number of ids of each text, without holding a text's ids."""
         for group in by_bytes(texts):
             for parts in self._parts(group):
                 yield sum(sum(map(len, part)) for part in parts) // 4
 
 
-def by_bytes(texts: list[bytes | None], most: int = SEGMENT):
+def texts_of(column, rows: int = 512):
+    """Yields the texts of an Arrow column as UTF-8 bytes, a few rows copied at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.binary()).to_pylist()
+
+
+def by_bytes(texts: Iterable[bytes | None], most: int = SEGMENT):
     """Groups of consecutive texts of about equal bytes; null counts as empty."""
     group, size = [], 0
     for text in texts:
