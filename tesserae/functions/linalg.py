@@ -150,3 +150,51 @@ def _quaternion(m: Column) -> Column:
 def corners(lo: Column, hi: Column) -> Column:
     """The eight corners of a box."""
     return F.array(*(vec(a.x, b.y, c.z) for a in (lo, hi) for b in (lo, hi) for c in (lo, hi)))
+
+
+#: Kinds of transform operations by the upper four bits of their code, and how many values each takes. Fixed values.
+OP_VALUES = (3, 3, 4, 16, 1, 1, 1)
+
+
+def decode_ops(codes: Column, values: Column) -> Column:
+    """ARRAY<STRUCT<kind, values>> of coded transform operations: each code takes its values in turn; it ends where they run out, and codes of no known kind take none and are left out."""
+    kind = lambda c: F.shiftright(c, 4)
+    takes = lambda c: F.coalesce(F.try_element_at(F.array(*map(F.lit, OP_VALUES)), kind(c) + 1), F.lit(0))
+    op = "struct<kind:int,values:array<double>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("ended"), F.array().cast(f"array<{op}>").alias("ops"))
+
+    def step(state, c):
+        ended = state.ended | (state.at + takes(c) > F.size(values))
+        taken = F.struct(kind(c).cast("int").alias("kind"), F.slice(values, state.at + 1, takes(c)).alias("values"))
+        ops = F.when(ended | (kind(c) >= len(OP_VALUES)), state.ops).otherwise(F.concat(state.ops, F.array(taken.cast(op))))
+        return F.struct(F.when(ended, state.at).otherwise(state.at + takes(c)).alias("at"), ended.alias("ended"), ops.alias("ops"))
+
+    return F.aggregate(codes, start, step, lambda state: state.ops)
+
+
+def film_back(ops: Column) -> Column:
+    """Product, from the left, of film-back operations ARRAY<STRUCT<kind STRING, values ARRAY<DOUBLE>>> (translate, scale, matrix) as 9 numbers row by row."""
+    number = lambda x: F.lit(float(x)) if isinstance(x, int) else x.cast("double")
+    rows = lambda *v: F.array(*map(number, v))
+    v = lambda op, k: F.try_element_at(op["values"], F.lit(k))
+    one = lambda op: F.when(op["kind"] == "translate", rows(1, 0, v(op, 1), 0, 1, v(op, 2), 0, 0, 1)).when(op["kind"] == "scale", rows(v(op, 1), 0, 0, 0, v(op, 2), 0, 0, 0, 1)).otherwise(op["values"])
+
+    def product(ab):
+        at = lambda m, i, j: F.element_at(ab[m], F.lit(3 * i + j + 1))
+        return F.array(*(at("a", i, 0) * at("b", 0, j) + at("a", i, 1) * at("b", 1, j) + at("a", i, 2) * at("b", 2, j) for i in range(3) for j in range(3)))
+
+    return F.aggregate(ops, rows(1, 0, 0, 0, 1, 0, 0, 0, 1), lambda m, op: let(F.struct(m.alias("a"), one(op).alias("b")), product))
+
+
+def transform_normal(m: Column, n: Column) -> Column:
+    """A normal turned by the transposed inverse of the upper 3x3 of a matrix, of length 1; zero if that has no inverse."""
+
+    def turned(mn):
+        e = lambda col, row: F.element_at(mn["m"], F.lit(4 * col + row + 1))
+        x, y, z = (vec(e(k, 0), e(k, 1), e(k, 2)) for k in range(3))
+        parts = cross(y, z), cross(z, x), cross(x, y)
+        det = F.nullif(dot(x, parts[0]), F.lit(0.0))
+        of = lambda axis: sum((parts[k][axis] * mn["n"][c] for k, c in ((1, "y"), (2, "z"))), parts[0][axis] * mn["n"]["x"]) / det
+        return normalize(vec(*(F.coalesce(of(axis), F.lit(0.0)) for axis in "xyz")))
+
+    return let(F.struct(m.alias("m"), n.alias("n")), turned)

@@ -112,3 +112,21 @@ BASIS = {0: "none", 1: "bezier", 2: "bspline", 3: "catmull-rom", 4: "hermite", 5
 SCOPE = {"con": "constant", "uni": "uniform", "var": "varying", "vtx": "vertex", "fvr": "face-varying"}
 PODS = {0: "bool_t", 1: "uint8_t", 2: "int8_t", 3: "uint16_t", 4: "int16_t", 5: "uint32_t", 6: "int32_t", 7: "uint64_t", 8: "int64_t", 9: "float16_t", 10: "float32_t", 11: "float64_t", 12: "string", 13: "wstring"}
 POD_SPARK = {"bool_t": "boolean", "uint8_t": "smallint", "int8_t": "tinyint", "uint16_t": "int", "int16_t": "smallint", "uint32_t": "bigint", "int32_t": "int", "uint64_t": "decimal(20,0)", "int64_t": "bigint", "float16_t": "float", "float32_t": "float", "float64_t": "double", "string": "string", "wstring": "string"}
+
+
+def strings_to_bytes(strings: Column) -> Column:
+    """The inverse of strings_of: each string with a NUL after it."""
+    return F.array_join(F.transform(strings, lambda x: F.concat(x, F.lit("\0"))), "")
+
+
+def stats_line(kind: Column, points: Column, faces: Column, samples: Column, focal: Column, constant: Column) -> Column:
+    """What a listing says of an object of a class: its sizes at the first sample and the number of samples; of other classes nothing."""
+    tail = F.concat(samples.cast("string"), F.lit(" samples"))
+    return (
+        F.when(kind.isin("PolyMesh", "SubD"), F.concat(F.lit("- "), points.cast("string"), F.lit(" verts, "), faces.cast("string"), F.lit(" faces, "), tail))
+        .when(kind == "Curves", F.concat(F.lit("- "), faces.cast("string"), F.lit(" curves, "), tail))
+        .when(kind == "Points", F.concat(F.lit("- "), points.cast("string"), F.lit(" points, "), tail))
+        .when(kind == "Camera", F.concat(F.format_string("- focal=%.1fmm, ", focal), tail))
+        .when(kind == "Xform", F.concat(F.when(constant, F.lit("- static, ")).otherwise(F.lit("- animated, ")), tail))
+        .otherwise(F.lit(""))
+    )

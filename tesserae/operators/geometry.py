@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from tesserae.functions import linalg as la
 
 
-def face_offsets(faces: DataFrame, order: str = "face", by: str = "mesh") -> DataFrame:
-    """Adds first: where a face's indices begin, the exclusive prefix sum of n."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return faces.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+def face_offsets(faces: DataFrame, order: str = "face", by: str = "mesh", width: int = 1 << 16) -> DataFrame:
+    """Adds first: where a face's indices begin, the exclusive prefix sum of n in the order of a number.
+
+    Sums go over stretches of `width` of the order first, so a mesh of very
+    many faces spreads over many tasks.
+    """
+    rows = faces.withColumn("stretch", F.floor(F.col(order) / width))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(by, "stretch").agg(F.sum("n").alias("sum"))
+    begins = sums.select(by, "stretch", F.coalesce(F.sum("sum").over(before(Window.partitionBy(by).orderBy("stretch"))), F.lit(0)).alias("begin"))
+    inside = F.coalesce(F.sum("n").over(before(Window.partitionBy(by, "stretch").orderBy(order))), F.lit(0))
+    return rows.withColumn("inside", inside).join(begins, [by, "stretch"]).withColumn("first", F.col("begin") + F.col("inside")).drop("stretch", "inside", "begin")
 
 
 def fan(indices: Column) -> Column:
@@ -60,20 +68,77 @@ def union_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
     return proper.groupBy(*by).agg(*(F.min(f"min_{a}").alias(f"min_{a}") for a in "xyz"), *(F.max(f"max_{a}").alias(f"max_{a}") for a in "xyz"))
 
 
-def smooth_normals(corners: DataFrame, degrees: float) -> DataFrame:
-    """For corners (mesh, corner, p, n): the mean of the normals at the same rounded position that are within an angle.
+def coincident(corners: DataFrame, degrees: float) -> DataFrame:
+    """(mesh, cell, n, m, times): the normals m within an angle of n at the same rounded position, and how many corners have them.
 
     Equal normals at a position are first counted together, so the pairs
-    that meet are pairs of different normals at one position.
+    that meet are pairs of different normals at one position. corners: mesh,
+    p, n.
     """
-    cell = F.struct(*(F.round(F.col(f"p.{a}") * 10000).cast("long").alias(a) for a in "xyz"))
-    at = corners.withColumn("cell", cell)
-    kinds = at.groupBy("mesh", "cell", "n").agg(F.count("*").alias("times"))
+    kinds = corners.groupBy("mesh", cell_of(F.col("p")).alias("cell"), "n").agg(F.count("*").alias("times"))
     other = kinds.select("mesh", "cell", F.col("n").alias("m"), "times")
-    met = kinds.drop("times").join(other, ["mesh", "cell"]).filter(la.dot(F.col("n"), F.col("m")) >= F.cos(F.radians(F.lit(degrees))))
+    return kinds.drop("times").join(other, ["mesh", "cell"]).filter(la.dot(F.col("n"), F.col("m")) >= F.cos(F.radians(F.lit(degrees))))
+
+
+def cell_of(p: Column) -> Column:
+    """A position rounded to four digits, as whole numbers."""
+    return F.struct(*(F.round(p[a] * 10000).cast("long").alias(a) for a in "xyz"))
+
+
+def smooth_normals(corners: DataFrame, degrees: float) -> DataFrame:
+    """For corners (mesh, corner, p, n): the mean of the normals at the same rounded position that are within an angle."""
+    met = coincident(corners, degrees)
     total = met.groupBy("mesh", "cell", "n").agg(*(F.sum(F.col(f"m.{a}") * F.col("times")).alias(f"s{a}") for a in "xyz"), F.sum("times").alias("k"))
     mean = total.select("mesh", "cell", "n", la.normalize(la.vec(F.col("sx") / F.col("k"), F.col("sy") / F.col("k"), F.col("sz") / F.col("k"))).alias("smooth"))
-    return at.join(mean, ["mesh", "cell", "n"], "left").select("mesh", "corner", F.coalesce("smooth", "n").alias("normal"))
+    return corners.withColumn("cell", cell_of(F.col("p"))).join(mean, ["mesh", "cell", "n"], "left").select("mesh", "corner", F.coalesce("smooth", "n").alias("normal"))
+
+
+def tuples(flat: Column, n: int) -> Column:
+    """Array of the arrays of n consecutive numbers; what is left over is cut."""
+    whole = F.floor(F.size(flat) / n).cast("int")
+    return F.when(whole > 0, F.transform(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), lambda k: F.slice(flat, k * n + 1, n))).otherwise(F.array().cast("array<array<double>>"))
+
+
+def expanded(flat: Column, n: int, indices: Column, missing: list[float]) -> Column:
+    """Attribute values of n numbers each by index, `missing` where an index is out of range; all values in order if indices is null."""
+    return gather(tuples(flat, n), indices, F.array(*map(F.lit, missing)))
+
+
+def picked(values: Column, corners: list[Column], vertices: list[Column], missing: Column, by_vertex: bool = True) -> list[Column]:
+    """A triangle's three values: by face corner if values reach its last, else (if by_vertex) by vertex if they reach its last, else missing. Null values are missing."""
+    at = lambda k: F.try_element_at(values, (k + 1).cast("int"))
+    n = F.coalesce(F.size(values), F.lit(0))
+    own = lambda c, v: F.when(n > corners[2], at(c)).when((n > vertices[2]) & F.lit(by_vertex), F.coalesce(at(v), missing)).otherwise(missing)
+    return [own(c, v) for c, v in zip(corners, vertices)]
+
+
+def trim_curve(counts: Column, orders: Column, knots: Column, u: Column, i: Column) -> Column:
+    """STRUCT<order, knots, u> of trim curve i (from 0): knots and vertices lie one curve after another, a curve of n vertices has n + order knots. Null if there is no such curve or its numbers run out."""
+    n, order = F.try_element_at(counts, (i + 1).cast("int")), F.try_element_at(orders, (i + 1).cast("int"))
+    before = lambda a: F.aggregate(F.slice(a, 1, F.greatest(i, F.lit(0)).cast("int")), F.lit(0), lambda s, x: s + x.cast("int"))
+    first_u = before(counts)
+    first_knot = first_u + before(orders)
+    fits = (i >= 0) & (first_knot + n + order <= F.size(knots)) & (first_u + n <= F.size(u))
+    return F.when(fits, F.struct(order.alias("order"), F.slice(knots, first_knot + 1, n + order).alias("knots"), F.slice(u, first_u + 1, n).alias("u")))
+
+
+def curve_in_loop(loops: Column, loop: int, nth: Column) -> Column:
+    """Number of the nth curve of a loop, where loops holds the number of curves of each."""
+    return F.when(F.size(loops) > loop, F.aggregate(F.slice(loops, 1, loop), F.lit(0), lambda s, x: s + x.cast("int")) + nth)
+
+
+def archive_bounds(samples: DataFrame, index: Column) -> DataFrame:
+    """Box around the objects of an archive at a sample index: each one's own bounds (min_x .. max_z) at its sample, else those of its points.
+
+    samples: object, idx, n (number of its samples), own (struct of min_x ..
+    max_z or null), points (array of points). index may depend on n. Objects
+    that have no such sample don't count; without any there is no row.
+    """
+    names = [f"{f}_{a}" for f in ("min", "max") for a in "xyz"]
+    of = lambda f, a: (F.array_min if f == "min" else F.array_max)(F.transform("points", lambda p: p[a]))
+    at = samples.filter(F.col("idx") == index)
+    box = at.select(*(F.when(F.col("own").isNotNull(), F.col(f"own.{name}")).otherwise(of(*name.split("_"))).alias(name) for name in names))
+    return union_boxes(box.withColumn("all", F.lit(1)), ["all"]).drop("all")
 
 
 def cdf(pixels: DataFrame, height: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Operators on object trees: frames of (path, parent_path, ...), one row for each object.
 
-Results are carried down or up one level at a time by equi joins on paths,
-so a pass takes as many joins as the tree is deep, whatever its width.
-Levels come from the paths themselves.
+What an object inherits is found from its path: the ancestors are listed by
+the path itself, joined once, and folded from the top, so a pass takes one
+join and one grouping however deep the tree is. Groups are as large as an
+object is deep.
 """
 
 from __future__ import annotations
@@ -25,15 +26,24 @@ def levels(objects: DataFrame) -> int:
     return objects.agg(F.max(depth_of(F.col("path")))).first()[0] or 0
 
 
-def walk(objects: DataFrame) -> DataFrame:
-    """Adds depth, n_children and sort_key, by which preorder (children by ord) is an ordinary sort.
+def chains(objects: DataFrame, *columns: str) -> DataFrame:
+    """(path, chain): for each object the structs (depth, columns..) of its ancestors and itself, from the top down. Ancestors that aren't among the objects are left out."""
+    place = depth_of(F.col("path")).alias("depth")
+    lines = objects.select(F.col("path").alias("of"), F.explode(F.concat(text.ancestors(F.col("path")), F.array("path"))).alias("path"))
+    met = lines.join(objects.select("path", *columns), "path").select("of", F.struct(place, *columns).alias("link"))
+    return met.groupBy(F.col("of").alias("path")).agg(F.array_sort(F.collect_list("link")).alias("chain"))
 
-    Objects need path, parent_path and ord.
-    """
+
+def walk(objects: DataFrame) -> DataFrame:
+    """Adds depth and n_children. Objects need path and parent_path."""
     n = objects.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("n_children"))
-    own = objects.select("path", "parent_path", F.lpad(F.col("ord").cast("string"), 10, "0").alias("part"))
-    keyed = carry_down(own, {"sort_key": F.col("part")}, {"sort_key": F.concat_ws("/", "up_sort_key", "part")})
-    return keyed.drop("part").join(n, "path", "left").select("path", "parent_path", (depth_of(F.col("path"))).alias("depth"), F.coalesce("n_children", F.lit(0)).alias("n_children"), "sort_key")
+    return objects.join(n, "path", "left").select("path", "parent_path", depth_of(F.col("path")).alias("depth"), F.coalesce("n_children", F.lit(0)).alias("n_children"))
+
+
+def preorder(objects: DataFrame) -> DataFrame:
+    """path, depth and sort_key, the ords from the top down, by which preorder (children by ord) is an ordinary sort. Objects need path and ord."""
+    keyed = chains(objects.select("path", F.col("ord").cast("long").alias("ord")), "ord")
+    return keyed.select("path", depth_of(F.col("path")).alias("depth"), F.transform("chain", lambda x: x.ord).alias("sort_key"))
 
 
 def numbered(rows: DataFrame, key: str, name: str, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -53,23 +63,11 @@ def numbered(rows: DataFrame, key: str, name: str, cut: Callable[[DataFrame], Da
     return dealt.withColumn("within", within).join(F.broadcast(begins), "range").withColumn(name, F.col("begin") + F.col("within")).drop("range", "begin", "within")
 
 
-def carry_down(objects: DataFrame, start: dict[str, Column], step: dict[str, Column]) -> DataFrame:
-    """Adds columns that depend on the parent's: start at the top, then step, where up_<name> is the parent's value."""
-    top = F.col("depth") == 1
-    leveled = objects.withColumn("depth", depth_of(F.col("path")))
-    level = leveled.filter(top).withColumns(start)
-    done = level
-    for d in range(2, levels(objects) + 1):
-        up = level.select(F.col("path").alias("parent_path"), *(F.col(c).alias(f"up_{c}") for c in start))
-        level = leveled.filter(F.col("depth") == d).join(up, "parent_path").withColumns(step).drop(*(f"up_{c}" for c in start))
-        done = done.unionByName(level)
-    return done.drop("depth")
-
-
 def world_transforms(objects: DataFrame) -> DataFrame:
     """Adds world: the parent's world times local where inherits, else local alone. Objects need local and inherits; null local counts as the identity."""
-    local = F.coalesce("local", identity())
-    return carry_down(objects, {"world": local}, {"world": F.when(F.coalesce("inherits", F.lit(True)), matmul(F.col("up_world"), local)).otherwise(local)})
+    own = objects.select("path", F.coalesce("local", identity()).alias("local"), F.coalesce("inherits", F.lit(True)).alias("inherits"))
+    world = F.aggregate("chain", identity(), lambda up, x: F.when(x.inherits, matmul(up, x.local)).otherwise(x.local))
+    return objects.join(chains(own, "local", "inherits").select("path", world.alias("world")), "path")
 
 
 def visible(objects: DataFrame) -> DataFrame:
@@ -87,8 +85,13 @@ def self_or_descendant(objects: DataFrame, matches: Column) -> DataFrame:
     return objects.join(hit, "path", "left_semi")
 
 
-def merkle(objects: DataFrame) -> DataFrame:
-    """Adds digest: SHA-256 of the children's digests in order of path, the object's data and its name, from the deepest level up."""
+def merkle(objects: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds digest: SHA-256 of the children's digests in order of path, the object's data and its name, from the deepest level up.
+
+    Levels are cut, so each is computed once. The digests of an object's
+    children meet in one row, 64 bytes for each child.
+    """
+    cut = cut or (lambda df: df.checkpoint())
     leveled = objects.withColumn("depth", depth_of(F.col("path")))
     own = lambda below: F.sha2(F.concat_ws("|", below, F.coalesce("data", F.lit("")), text.last_component(F.col("path"))), 256)
     level, done = None, None
@@ -99,20 +102,18 @@ def merkle(objects: DataFrame) -> DataFrame:
             here = here.join(kids, "path", "left")
         else:
             here = here.withColumn("below", F.lit(None).cast("string"))
-        level = here.withColumn("digest", own(F.coalesce("below", F.lit("")))).drop("below")
+        level = cut(here.withColumn("digest", own(F.coalesce("below", F.lit("")))).drop("below"))
         done = level if done is None else done.unionByName(level)
-    return done.drop("depth")
+    return (leveled.withColumn("digest", F.lit(None).cast("string")) if done is None else done).drop("depth")
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 100, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Nodes that directed edges (src, dst) reach from start (node), itself included; cycles end where nothing new is found."""
+def reachable(edges: DataFrame, start: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Nodes that directed edges (src, dst) reach from start (node), itself included, however far; cycles end where nothing new is found."""
     cut = cut or (lambda df: df.checkpoint())
     found = frontier = cut(start.select("node").distinct())
-    for _ in range(rounds):
+    while not frontier.isEmpty():
         new = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
         frontier = cut(new.join(found, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
         found = cut(found.unionByName(frontier))
     return found
 

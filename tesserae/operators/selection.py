@@ -36,28 +36,39 @@ def select_samples(samples: DataFrame, probes: DataFrame, width: int) -> DataFra
     """
     n = samples.groupBy("key").agg(F.count("*").alias("n"))
     at = floor_samples(samples, probes, width).join(n, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    here = samples.select("key", F.col("idx").cast("long").alias("floor_idx"), F.col("t").cast("double").alias("floor_t"), F.lead("t").over(Window.partitionBy("key").orderBy("idx")).cast("double").alias("next_t"))
-    at = at.join(here, ["key", "floor_idx"], "left")
+    # by key and index, so that no key's samples meet in one task
+    here, following = (samples.select("key", (F.col("idx").cast("long") - back).alias("floor_idx"), F.col("t").cast("double").alias(name)) for back, name in ((0, "floor_t"), (1, "next_t")))
+    at = at.join(here, ["key", "floor_idx"], "left").join(following, ["key", "floor_idx"], "left")
     t, n, lo, lo_t, hi_t = (F.col(c) for c in ("t", "n", "floor_idx", "floor_t", "next_t"))
     hi = F.when((n <= 1) | (lo >= n - 1), lo).otherwise(lo + 1)
     out = at.withColumns({"ceil_idx": ts.ceil_index(lo, lo_t, t, n), "near_idx": ts.near_index(lo, lo_t, hi_t, t, n), "hi_idx": hi, "alpha": F.coalesce(ts.alpha(lo, lo_t, hi_t, t.cast("double"), n), F.lit(0.0))})
     return out.withColumn("interpolates", ts.needs_interpolation(F.col("floor_idx"), F.col("hi_idx"), F.col("alpha")))
 
 
+def changes(samples: DataFrame) -> DataFrame:
+    """Adds changed: whether the value differs from that of the sample before; false for the first.
+
+    idx counts from 0 without gaps. A sample meets the one before it by key
+    and idx, so a key with very many samples spreads over many tasks.
+    """
+    before = samples.select("key", (F.col("idx") + 1).alias("idx"), F.col("value").alias("old"))
+    changed = ~F.col("value").eqNullSafe(F.col("old")) & (F.col("idx") > 0)
+    return samples.join(before, ["key", "idx"], "left").withColumn("changed", changed).drop("old")
+
+
 def change_runs(samples: DataFrame) -> DataFrame:
     """For each key its n samples, first_changed and last_changed: the first and last idx whose value differs from the one before; 0 if none does."""
-    changed = ~F.col("value").eqNullSafe(F.lag("value").over(Window.partitionBy("key").orderBy("idx"))) & (F.col("idx") > 0)
-    flagged = samples.withColumn("changed", changed)
     at = F.when(F.col("changed"), F.col("idx"))
-    return flagged.groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.min(at), F.lit(0)).alias("first_changed"), F.coalesce(F.max(at), F.lit(0)).alias("last_changed"))
+    return changes(samples).groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.min(at), F.lit(0)).alias("first_changed"), F.coalesce(F.max(at), F.lit(0)).alias("last_changed"))
 
 
 def equivalent_samplings(samplings: DataFrame) -> DataFrame:
-    """(ts_index, same_as): the smallest index of an equivalent sampling. Equal descriptors count once, as the smallest index; those that differ meet on kind and number of times, and on rounded numbers in two shifted grids."""
+    """(ts_index, same_as): the smallest index of an equivalent sampling. Equal descriptors count once, as the smallest index; those that differ meet on kind and number of times, and on rounded numbers in eight grids, each number shifted by half a step or not."""
     descriptor = ["kind", "tpc", "start", "times"]
     distinct = samplings.groupBy(descriptor).agg(F.min("ts_index").alias("ts_index"))
-    grid = lambda shift: F.array(F.floor(F.coalesce("tpc", F.lit(0.0)) * 1e9 + shift), F.floor(F.coalesce("start", F.lit(0.0)) * 1e9 + shift), F.floor(F.coalesce(F.try_element_at("times", F.lit(1)), F.lit(0.0)) * 1e9 + shift))
-    keyed = distinct.withColumn("cell", F.explode(F.array(F.struct(F.lit(0).alias("g"), grid(0.0).alias("at")), F.struct(F.lit(1).alias("g"), grid(0.5).alias("at"))))).withColumn("k", F.size("times"))
+    numbers = [F.coalesce(x, F.lit(0.0)) for x in (F.col("tpc"), F.col("start"), F.try_element_at("times", F.lit(1)))]
+    grid = lambda g: F.struct(F.lit(g).alias("g"), F.array(*(F.floor(x * 1e9 + (g >> k) % 2 / 2) for k, x in enumerate(numbers))).alias("at"))
+    keyed = distinct.withColumn("cell", F.explode(F.array(*map(grid, range(8))))).withColumn("k", F.size("times"))
     a, b = (keyed.select("cell", "kind", "k", *(F.col(c).alias(f"{c}_{s}") for c in ("ts_index", "tpc", "start", "times"))) for s in "ab")
     met = a.join(b, ["cell", "kind", "k"]).filter("ts_index_b <= ts_index_a")
     same = ts.equivalent(*(F.col(c) for c in ("kind", "tpc_a", "start_a", "times_a", "kind", "tpc_b", "start_b", "times_b")))

@@ -50,17 +50,11 @@ samples as (
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times to look up: a third of the events, up to three half hours off."""
-    return samples(spark, sf_dir).filter("event_id % 3 = 0").select("key", (F.col("t") + (F.col("event_id") % 7 - 3) * 1800000000).alias("t"), "event_id")
-
-
-def every_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times to look up: all events, up to three half hours off."""
     return samples(spark, sf_dir).select("key", (F.col("t") + (F.col("event_id") % 7 - 3) * 1800000000).alias("t"), "event_id")
 
 
-PROBES = "probes as (select key, t + (event_id % 7 - 3) * 1800000000 as t, event_id from samples where event_id % 3 = 0)"
-EVERY_PROBE = "probes as (select key, t + (event_id % 7 - 3) * 1800000000 as t, event_id from samples)"
+PROBES = "probes as (select key, t + (event_id % 7 - 3) * 1800000000 as t, event_id from samples)"
 
 
 def corners(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,51 @@ def test_equal_samplings_meet_once(spark):
     rows = spark.range(200_000).select(k.alias("ts_index"), F.lit("uniform").alias("kind"), F.element_at(F.array(*map(F.lit, (1.0, 1.0 + 1e-12, 2.0, 3.0))), (k % 4 + 1).cast("int")).alias("tpc"), F.lit(0.0).alias("start"), F.array().cast("array<double>").alias("times"))
     got = equivalent_samplings(rows).groupBy(F.col("ts_index") % 4, "same_as").count().collect()
     assert {tuple(r) for r in got} == {(0, 0, 50_000), (1, 0, 50_000), (2, 2, 50_000), (3, 3, 50_000)}
+
+
+def test_preorder_of_long_ords(spark):
+    """Children go by number, whatever their digits."""
+    from tesserae.operators import hierarchy as tree
+
+    o = spark.createDataFrame([("/a", "/", 1), ("/a/x", "/a", 12345678901), ("/a/y", "/a", 2345678901), ("/a/y/z", "/a/y", 0), ("/b", "/", 0)], "path string, parent_path string, ord long")
+    assert [r["path"] for r in tree.preorder(o).orderBy("sort_key").collect()] == ["/b", "/a", "/a/y", "/a/y/z", "/a/x"]
+
+
+def test_deep_trees(spark):
+    """Forty levels of transforms, of which every tenth starts anew, in one pass."""
+    from tesserae.functions import linalg as la
+    from tesserae.operators import hierarchy as tree
+
+    paths = ["/" + "/".join(f"n{k}" for k in range(d + 1)) for d in range(40)]
+    rows = spark.createDataFrame([(p, p.rpartition("/")[0] or "/", d, d % 10 != 0) for d, p in enumerate(paths)], "path string, parent_path string, ord int, inherits boolean")
+    w = tree.world_transforms(rows.withColumn("local", la.translation(F.lit(1), F.col("ord"), F.lit(0))))
+    got = {r["path"]: (r["world"][12], r["world"][13]) for r in w.collect()}
+    assert got == {p: (d % 10 + 1, sum(range(d - d % 10, d + 1))) for d, p in enumerate(paths)}
+
+
+def test_reachable_over_many_hops(spark):
+    from tesserae.operators import hierarchy as tree
+    from tesserae.plans.tree_queries import kept
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(12, 0)], "src long, dst long")
+    assert tree.reachable(edges, spark.createDataFrame([(0,)], "node long"), cut=kept).count() == 13
+
+
+def test_samplings_that_straddle_one_grid_each(spark):
+    """Two numbers, each by less than the tolerance off, one on either side of a step of the plain grid and one of the shifted grid."""
+    from tesserae.operators.selection import equivalent_samplings
+
+    rows = [(0, "uniform", 1e-9 - 2e-11, 1.5e-9 - 2e-11), (1, "uniform", 1e-9 + 2e-11, 1.5e-9 + 2e-11), (2, "uniform", 5e-9, 1.5e-9)]
+    df = spark.createDataFrame(rows, "ts_index int, kind string, tpc double, start double").withColumn("times", F.array().cast("array<double>"))
+    assert {tuple(r) for r in equivalent_samplings(df).collect()} == {(0, 0), (1, 0), (2, 2)}
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tesserae.plans.tree_queries import kept
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError):
+        kept(SimpleNamespace(sparkSession=session))
