@@ -62,16 +62,21 @@ def change_runs(samples: DataFrame) -> DataFrame:
     return changes(samples).groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.min(at), F.lit(0)).alias("first_changed"), F.coalesce(F.max(at), F.lit(0)).alias("last_changed"))
 
 
-def equivalent_samplings(samplings: DataFrame) -> DataFrame:
-    """(ts_index, same_as): the smallest index of an equivalent sampling. Equal descriptors count once, as the smallest index; those that differ meet on kind and number of times, and on rounded numbers in eight grids, each number shifted by half a step or not."""
-    descriptor = ["kind", "tpc", "start", "times"]
+def equivalent_samplings(samplings: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within.., ts_index, same_as): the smallest index of an equivalent sampling, among those that agree on the columns of within.
+
+    Equal descriptors count once, as the smallest index; those that differ
+    meet on kind and number of times, and on rounded numbers in eight grids,
+    each number shifted by half a step or not.
+    """
+    descriptor = [*within, "kind", "tpc", "start", "times"]
     distinct = samplings.groupBy(descriptor).agg(F.min("ts_index").alias("ts_index"))
     numbers = [F.coalesce(x, F.lit(0.0)) for x in (F.col("tpc"), F.col("start"), F.try_element_at("times", F.lit(1)))]
     grid = lambda g: F.struct(F.lit(g).alias("g"), F.array(*(F.floor(x * 1e9 + (g >> k) % 2 / 2) for k, x in enumerate(numbers))).alias("at"))
     keyed = distinct.withColumn("cell", F.explode(F.array(*map(grid, range(8))))).withColumn("k", F.size("times"))
-    a, b = (keyed.select("cell", "kind", "k", *(F.col(c).alias(f"{c}_{s}") for c in ("ts_index", "tpc", "start", "times"))) for s in "ab")
-    met = a.join(b, ["cell", "kind", "k"]).filter("ts_index_b <= ts_index_a")
+    a, b = (keyed.select(*within, "cell", "kind", "k", *(F.col(c).alias(f"{c}_{s}") for c in ("ts_index", "tpc", "start", "times"))) for s in "ab")
+    met = a.join(b, [*within, "cell", "kind", "k"]).filter("ts_index_b <= ts_index_a")
     same = ts.equivalent(*(F.col(c) for c in ("kind", "tpc_a", "start_a", "times_a", "kind", "tpc_b", "start_b", "times_b")))
-    named = met.filter(same).groupBy("kind", *(F.col(f"{c}_a") for c in descriptor[1:])).agg(F.min("ts_index_b").alias("same_as")).withColumnRenamed("kind", "kind_a")
+    named = met.filter(same).groupBy(*(F.col(c).alias(f"{c}_a") for c in (*within, "kind")), *(f"{c}_a" for c in ("tpc", "start", "times"))).agg(F.min("ts_index_b").alias("same_as"))
     alike = [F.col(c).eqNullSafe(F.col(f"{c}_a")) for c in descriptor]
-    return samplings.join(named, alike).groupBy("ts_index").agg(F.min("same_as").alias("same_as"))
+    return samplings.join(named, alike).groupBy(*within, "ts_index").agg(F.min("same_as").alias("same_as"))

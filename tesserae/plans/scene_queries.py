@@ -1,5 +1,7 @@
 """Queries on attributes, cameras, listings and stored scenes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tesserae.functions import linalg as la
@@ -10,9 +12,10 @@ from tesserae.operators import geometry as geo
 from tesserae.operators import hierarchy as tree
 from tesserae.operators import selection as sel
 from tesserae.plans.array_queries import E, point
-from tesserae.plans.bindings import CORNERS, OBJECTS, SAMPLES, corners, objects, samples, table
+from tesserae.plans.bindings import CORNERS, OBJECTS, SAMPLES, corners, objects, samples, shared_folder, table
 from tesserae.plans.time_queries import RUNS, SELECTED, selected
 from tesserae.plans.tree_queries import WORLD, placed
+from tesserae.sources import scene
 
 QUERIES, ORACLES = {}, {}
 
@@ -267,3 +270,34 @@ def stored_counts(spark, sf):
     runs = sel.change_runs(samples(spark, sf).select("key", "idx", F.col("event_type").alias("value")))
     at = ts.stored_index(F.col("idx"), F.col("first_changed"), F.col("last_changed"))
     return s.join(runs, "key").groupBy("key").agg((F.count("*") > 0).alias("stored"), F.count_distinct(at).alias("n_stored"))
+
+
+def stored_scene(spark, sf):
+    """Folder of a scene: the tree as objects, nations as time samplings (of which 15 differ), customers as properties."""
+    folder = f"{shared_folder(spark)}/scene-{uuid.uuid4().hex}"
+    empty = F.lit(None).cast("map<string,string>")
+    o = objects(spark, sf).select(F.lit("a").alias("archive_id"), "path", "parent_path", text.last_component(F.col("path")).alias("name"), (F.size(F.split("path", "/")) - 1).alias("depth"), F.col("ord").cast("int").alias("ord"), F.lit("AbcGeom_Xform_v3").alias("schema"), empty.alias("metadata"))
+    k = F.col("n_nationkey").cast("int")
+    t = table(spark, sf, "nation").select(F.lit("a").alias("archive_id"), k.alias("ts_index"), F.lit("uniform").alias("kind"), ((k % 5 + 1) / 24.0).alias("tpc"), (k % 3).cast("double").alias("start"), F.array().cast("array<double>").alias("times"), (k + 1).alias("max_samples"))
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    p = table(spark, sf, "customer").select(F.lit("a").alias("archive_id"), F.concat(F.lit("/c"), "c_custkey").alias("object_path"), F.lit("P").alias("prop_path"), null("parent_prop", "string"), F.lit("P").alias("name"), null("ord", "int"), null("kind", "string"), null("pod", "string"), null("extent", "int"), F.col("c_nationkey").cast("int").alias("ts_index"), null("num_samples", "int"), null("first_changed", "int"), null("last_changed", "int"), empty.alias("metadata"))
+    scene.write_scene({"objects": o, "time_samplings": t, "properties": p}, folder)
+    return folder
+
+
+@query("C6_copy", f"with {OBJECTS} select path, parent_path, split_part(path, '/', -1) as name, depth, ord::int as ord from objects")
+def copy(spark, sf):
+    """The objects of a scene that was stored and copied."""
+    source = stored_scene(spark, sf)
+    scene.copy_scene(spark, source, f"{source}-copy")
+    return scene.read_scene(spark, f"{source}-copy", "objects").select("path", "parent_path", "name", "depth", "ord")
+
+
+@query("C7_copy_merged", """with p as (select '/c' || c_custkey as object_path, c_nationkey % 15 as ts_index from customer), t as (select n_nationkey % 15 as ts_index, max(n_nationkey + 1) as max_samples from nation group by 1)
+select object_path, ts_index::int as ts_index, max_samples::int as max_samples from p join t using (ts_index)""")
+def copy_merged(spark, sf):
+    """Properties of a copy in which equivalent time samplings were merged."""
+    source = stored_scene(spark, sf)
+    scene.copy_scene(spark, source, f"{source}-copy", merge_samplings=True)
+    p, t = (scene.read_scene(spark, f"{source}-copy", name) for name in ("properties", "time_samplings"))
+    return p.join(t.select("ts_index", "max_samples"), "ts_index").select("object_path", "ts_index", "max_samples")

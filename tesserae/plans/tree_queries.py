@@ -8,7 +8,7 @@ from tesserae.functions import text
 from tesserae.operators import content
 from tesserae.operators import geometry as geo
 from tesserae.operators import hierarchy as tree
-from tesserae.plans.bindings import OBJECTS, objects, table
+from tesserae.plans.bindings import OBJECTS, objects, shared_folder, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,15 +24,10 @@ def query(name, sql=None):
 
 
 def kept(df):
-    """Cuts lineage in the shared folder, or (where none is set, and all runs on one machine, as in tests) in a folder of our own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tesserae-"))
+    """Cuts lineage in the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -6,6 +6,7 @@ filters on archive, path, property and stored index reach the Parquet scan.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,35 @@ def logical_samples(stored: DataFrame, properties: DataFrame) -> DataFrame:
     runs = properties.select(*key, "num_samples", "first_changed", "last_changed").withColumn("idx", F.explode(F.sequence(F.lit(0), F.greatest(F.col("num_samples") - 1, F.lit(0))))).filter("num_samples > 0")
     runs = runs.withColumn("stored_index", ts.stored_index(F.col("idx"), F.col("first_changed"), F.col("last_changed")))
     return runs.join(stored, [*key, "stored_index"]).drop("num_samples", "first_changed", "last_changed", "stored_index")
+
+
+def copy_scene(spark: SparkSession, source: str, target: str, merge_samplings: bool = False) -> None:
+    """Copies the tables that a stored scene has.
+
+    With merge_samplings, of equivalent time samplings of an archive only the
+    first stays, numbered anew from 0 in the order of the old numbers, and
+    properties refer to the new numbers.
+    """
+    from pyspark.sql import Window
+
+    from tesserae.operators.selection import equivalent_samplings
+
+    tables = {}
+    for name in SCHEMAS:
+        try:
+            tables[name] = read_scene(spark, source, name)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    if merge_samplings and "time_samplings" in tables:
+        old = tables["time_samplings"]
+        key = ["archive_id", "ts_index"]
+        same = equivalent_samplings(old.select(*key, "kind", "tpc", "start", "times"), ("archive_id",)).withColumnRenamed("same_as", "first")
+        # an archive has few samplings
+        kept = same.filter("ts_index = first").select(*key, (F.row_number().over(Window.partitionBy("archive_id").orderBy("ts_index")) - 1).alias("number"))
+        numbers = same.join(kept.select("archive_id", F.col("ts_index").alias("first"), "number"), ["archive_id", "first"]).select(*key, "number")
+        largest = old.join(numbers, key).groupBy("archive_id", "number").agg(F.max("max_samples").alias("max_samples"))
+        tables["time_samplings"] = old.drop("max_samples").join(kept, key).join(largest, ["archive_id", "number"]).withColumn("ts_index", F.col("number"))
+        if "properties" in tables:
+            tables["properties"] = tables["properties"].join(numbers, key, "left").withColumn("ts_index", F.col("number"))
+    write_scene(tables, target)

@@ -101,7 +101,6 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     from tesserae.plans.tree_queries import kept
 
-    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
-    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(RuntimeError):
         kept(SimpleNamespace(sparkSession=session))
