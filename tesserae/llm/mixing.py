@@ -3,8 +3,9 @@
 DataFrame functions only. Each document draws an exponential key divided by
 its quality weight; within a source the smallest keys come first. A source's
 target is met by whole epochs of the source and, for the rest, by the prefix
-of its documents in key order. Prefix sums go over buckets of keys first, so
-that only the one bucket in which a source's prefix ends is ever sorted.
+of its documents in key order, of whose last one only the first words count.
+Prefix sums go over buckets of keys first, so that only the one bucket in
+which a source's prefix ends is ever sorted.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from tesserae.llm.common import Cuts, read, words_of
 
 #: Weights of the sources in order, repeating; a document stands at most LIMIT times in a mix.
 WEIGHTS, LIMIT = (5, 2, 1), 3
-#: Buckets of keys within a source.
-BUCKETS = 1024
+#: Buckets of keys within a source, at least, and rows of one about.
+BUCKETS, BUCKET_ROWS = 1024, 1 << 16
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, qualities: DataFrame | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -26,13 +27,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     qualities: (id_col, quality), a positive weight for drawing; documents
     without one weigh 1, the smallest of several counts. Returns one row for
     each input row: id_col, size (words of its text; 0 if null), source_size,
-    target (both of its source), taken (words: size times its repeats),
-    repeats, and the columns of extra. Sources are ordered by code point,
+    target (both of its source), taken (words: size times its repeats, and
+    part), repeats, part (words taken from one more copy), and the columns of
+    extra. Sources are ordered by code point,
     null last as a source of its own. Targets share the size of all
     documents by weight; none exceeds limit times its source's size, and
     what it would exceed is shared anew among the others by weight. A
     document is taken floor(target / source_size) times, and once more if it
-    is in the prefix whose size is nearest to what is left; ties of keys go
+    ends within what is left; the document in which that ends gives its first
+    words, so a source misses its target by less than a word. Ties of keys go
     to the smaller id, then size. Equal rows are interchangeable. An empty
     table gives no rows.
     """
@@ -46,29 +49,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
     key = -F.ln(uniform) / F.coalesce("quality", F.lit(1.0))
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-key)) * BUCKETS)).cast("int")
     # a null source stands apart from every string
     named = rows.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    keyed = cuts.write(named.withColumn("key", key).withColumn("bucket", bucket).drop("quality"))
-
+    keyed = cuts.write(named.withColumn("key", key).drop("quality"))
+    n = max(BUCKETS, keyed.count() // BUCKET_ROWS)
+    keyed = keyed.withColumn("bucket", F.least(F.lit(n - 1), F.floor((1 - F.exp(-F.col("key"))) * n)).cast("int"))
     buckets = cuts.write(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("sum")))
     targets = cuts.write(source_targets(buckets.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, limit))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    left = F.col("target") - F.col("epochs") * F.col("source_size")
+    left = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long")
     plan = starts.join(targets, "source").withColumn("epochs", epochs).withColumn("left", left)
-    plan = plan.withColumn("whole", F.col("start") + F.col("sum") <= F.col("left")).withColumn("ends", ~F.col("whole") & (F.col("start") < F.col("left")))
+    plan = plan.withColumn("whole", F.col("start") + F.col("sum") <= F.col("left")).withColumn("ends", ~F.col("whole") & (F.col("start") <= F.col("left")))
     plan = cuts.write(plan.select("source", "bucket", "start", "source_size", "target", "epochs", "left", "whole", "ends"))
 
     joined = keyed.join(plan, ["source", "bucket"])
     upto = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = joined.filter("ends").withColumn("middle", F.col("start") + F.sum("size").over(upto) - F.col("size") / 2)
-    last = last.withColumn("more", (F.col("middle") < F.col("left")).cast("long")).drop("middle")
-    rest = joined.filter("not ends").withColumn("more", F.col("whole").cast("long"))
+    last = joined.filter("ends").withColumn("room", F.col("left") - F.col("start") - F.sum("size").over(upto) + F.col("size"))
+    last = last.withColumn("more", (F.col("room") >= F.col("size")).cast("long"))
+    last = last.withColumn("part", F.when(F.col("more") == 0, F.greatest("room", F.lit(0).cast("long"))).otherwise(0)).drop("room")
+    rest = joined.filter("not ends").withColumn("more", F.col("whole").cast("long")).withColumn("part", F.lit(0).cast("long"))
     repeats = F.col("epochs") + F.col("more")
     out = rest.unionByName(last).withColumn("repeats", repeats)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", *(F.col(f"extra_{c}").alias(c) for c in extra))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats") + F.col("part")).alias("taken"), "repeats", "part", *(F.col(f"extra_{c}").alias(c) for c in extra))
+
+
+def first_words(text, n):
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, n), "")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], limit: int) -> DataFrame:
@@ -99,7 +108,7 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir):
-    return mix(read(spark, sf_dir, "documents"), qualities=quality_weights(read(spark, sf_dir, "labels"))).drop("repeats")
+    return mix(read(spark, sf_dir, "documents"), qualities=quality_weights(read(spark, sf_dir, "labels"))).drop("repeats", "part")
 
 
 OP7_SQL = r"""
@@ -131,10 +140,10 @@ t as (
 e as (
   select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
 o as (
-  select d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as remaining,
-    sum(d.size) over (partition by d.no_source, d.source order by d.key, d.doc_id, d.size rows unbounded preceding) - d.size / 2.0::double as middle
+  select d.doc_id, d.size, e.source_size, e.target, e.epochs, floor(e.target - e.epochs * e.source_size + 0.5)::bigint as remaining,
+    sum(d.size) over (partition by d.no_source, d.source order by d.key, d.doc_id, d.size rows unbounded preceding)::bigint - d.size as before
   from d join e using (no_source, source))
 select doc_id, size::bigint as size, source_size, target,
-  size::bigint * (epochs + case when middle < remaining then 1 else 0 end) as taken
+  (size * epochs + greatest(0, least(size, remaining - before)))::bigint as taken
 from o
 """

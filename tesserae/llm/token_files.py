@@ -2,8 +2,9 @@
 
 A store is a folder with two Parquet tables. `dictionary` has one row: the
 dictionary and its SHA-256. `shards` has a row for each run of documents in
-ascending id order: the compressed documents back to back (blob), the hash of
-the dictionary they need, and an index of (id, first token, offset, size,
+ascending id order: their smallest and largest id, by which the scan for one
+document skips other shards, the compressed documents back to back (blob),
+the hash of the dictionary they need, and an index of (id, first token, offset, size,
 tokens, bytes per token) that finds a document without decoding its
 neighbours. `parts` gives the number of tokens before each part of the
 shards.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import read, shared_dir
-from tesserae.llm.tokens import Encoder, tokenizer_path
+from tesserae.llm.tokens import Encoder, texts_of, tokenizer_path
 
 #: The dictionary is trained on at most so many texts of at most so many bytes, those with the smallest hashes.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 16_384
@@ -45,7 +46,7 @@ def train_dictionary(docs: DataFrame, path: str, kind: str, end_id: int) -> byte
         import zstandard
 
         encoder = Encoder.get(path, kind)
-        texts = [t for b in batches for t in b.column(0).cast(pa.binary()).to_pylist()]
+        texts = [t for b in batches for t in texts_of(b.column(0))]
         samples = [serialize(np.append(np.frombuffer(ids, "<u4"), end_id))[0] for ids in encoder.ids(sorted(texts))]
         try:
             trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -53,7 +54,10 @@ def train_dictionary(docs: DataFrame, path: str, kind: str, end_id: int) -> byte
             trained = b""
         yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], names=["dictionary"])
 
-    sample = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_TEXTS)
+    able = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text", F.xxhash64("text").alias("hash"))
+    # first the hashes alone, so that only texts of the sample are moved; equal texts count once
+    last = able.select("hash").distinct().orderBy("hash").limit(SAMPLE_TEXTS).agg(F.max("hash")).first()[0]
+    sample = able.filter(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.min("text").alias("text")).select("text")
     row = sample.repartition(1).mapInArrow(train, "dictionary binary").first()
     return bytes(row[0]) if row else b""
 
@@ -83,14 +87,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str, kind: str, end_id
         index, frames, size, start, n = [], [], 0, 0, 0
 
         def shard():
+            ids = [x["id"] for x in index if x["id"] is not None]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (part, n, digest)] + [pa.array([b"".join(frames)], pa.binary()), pa.array([index], index_type)],
-                names=["part", "shard", "dictionary", "blob", "index"],
+                [pa.array([x]) for x in (part, n, digest)] + [pa.array([min(ids, default=None)], id_kind), pa.array([max(ids, default=None)], id_kind), pa.array([b"".join(frames)], pa.binary()), pa.array([index], index_type)],
+                names=["part", "shard", "dictionary", "min_id", "max_id", "blob", "index"],
             )
 
         for batch in batches:
-            index_type = pa.list_(pa.struct([("id", batch.column(0).type), *[(x, pa.int64()) for x in ("start", "offset", "size", "n_tokens")], ("width", pa.int32())]))
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).cast(pa.binary()).to_pylist())):
+            id_kind = batch.column(0).type
+            index_type = pa.list_(pa.struct([("id", id_kind), *[(x, pa.int64()) for x in ("start", "offset", "size", "n_tokens")], ("width", pa.int32())]))
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(texts_of(batch.column(1)))):
                 ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
                 raw, width = serialize(ids)
                 frame = packed.compress(raw)
@@ -104,11 +110,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, kind: str, end_id
         if frames:
             yield shard()
 
-    schema = f"part long, shard long, dictionary string, blob binary, index {INDEX.format(id_type)}"
+    schema = f"part long, shard long, dictionary string, min_id {id_type}, max_id {id_type}, blob binary, index {INDEX.format(id_type)}"
     spread = rows.withColumn("tie", F.xxhash64("text"))
     ordered = spread.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
     # blobs are compressed already
-    ordered.select("id", "text").mapInArrow(write, schema).write.option("compression", "none").parquet(f"{folder}/shards")
+    ordered.select("id", "text").mapInArrow(write, schema).write.option("compression", "none").option("parquet.block.size", 4 * SHARD_BYTES).parquet(f"{folder}/shards")
     shards = spark.read.parquet(f"{folder}/shards")
     totals = shards.groupBy("part").agg(F.sum(F.aggregate("index", F.lit(0).cast("long"), lambda a, x: a + x.n_tokens)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
@@ -147,10 +153,10 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
 
 
 def document_ids(spark: SparkSession, folder: str, doc_id) -> list[int] | None:
-    """Ids of one document: only its shard is read, only its frame decoded."""
+    """Ids of one document, None if there is none: shards whose range of ids doesn't hold it are skipped by their statistics, and only its frame is decoded."""
     import zstandard
 
-    shards = spark.read.parquet(f"{folder}/shards")
+    shards = spark.read.parquet(f"{folder}/shards").filter((F.col("min_id") <= F.lit(doc_id)) & (F.col("max_id") >= F.lit(doc_id)))
     entry = F.get(F.filter("index", lambda x: x.id == F.lit(doc_id)), F.lit(0))
     row = shards.select(entry.alias("entry"), "blob", "dictionary").filter("entry is not null").select("entry", F.expr("substring(blob, cast(entry.offset as int) + 1, cast(entry.size as int))").alias("frame"), "dictionary").first()
     if row is None:
