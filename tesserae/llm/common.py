@@ -17,9 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests, where it is unset) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (where it is unset and all runs on one machine, as in tests) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tesserae-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

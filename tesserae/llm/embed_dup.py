@@ -2,7 +2,8 @@
 
 Vectors are turned to the principal axes of all vectors, so that the leading
 dimensions hold most of what tells them apart, and ordered by cells of the
-first ones into tiles. Tiles whose boxes are too far apart never meet. Within
+first ones into tiles. Tiles meet by neighbouring cells, so that those far
+apart never do, and are left out if their boxes are too far apart. Within
 a pair of tiles products accumulate over the leading dimensions; a pair of
 vectors is dropped as soon as its partial product plus the product of the
 norms of what remains can't reach the threshold.
@@ -85,6 +86,30 @@ def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float)
     return i[sure], j[sure]
 
 
+def _near_tiles(tiles: DataFrame, reach: float) -> DataFrame:
+    """(tile_a, tile_b, dim): each pair of tiles, and of a tile with itself, of one label whose boxes are within reach; once.
+
+    A tile's level is the number of leading axes on which it lies in one
+    cell, as wide as reach; as tiles follow the order of cells, few are of a
+    low level. Of two tiles the one of the lower level gives its cell at that
+    level, the other the neighbours of its own.
+    """
+    cells = [[F.floor(F.col(end)[k] / reach) for k in range(ORDERING)] for end in ("lo", "hi")]
+    level = F.lit(ORDERING)
+    for k in reversed(range(ORDERING)):
+        level = F.when(cells[0][k] != cells[1][k], F.lit(k)).otherwise(level)
+    boxes = tiles.select("label", "dim", "tile", "lo", "hi", F.array(*cells[0]).alias("cells"), level.alias("level"))
+    around = lambda near, c: F.flatten(F.transform(near, lambda x: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.concat(x, F.array(c + d)))))
+    nothing = F.array(F.array().cast("array<bigint>"))
+    a = boxes.select("label", "dim", "level", F.slice("cells", F.lit(1), F.col("level")).alias("cell"), *(F.col(c).alias(f"{c}_a") for c in ("tile", "lo", "hi")))
+    b = boxes.withColumn("own", F.col("level")).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    b = b.withColumn("cell", F.explode(F.aggregate(F.slice("cells", F.lit(1), F.col("level")), nothing, around)))
+    b = b.select("label", "dim", "level", "cell", "own", *(F.col(c).alias(f"{c}_b") for c in ("tile", "lo", "hi")))
+    apart = F.aggregate(F.zip_with(F.arrays_zip("lo_a", "hi_a"), F.arrays_zip("lo_b", "hi_b"), lambda p, q: F.greatest(F.lit(0.0), p.lo_a - q.hi_b, q.lo_b - p.hi_a)), F.lit(0.0), lambda s, g: s + g * g)
+    met = a.join(b, ["label", "dim", "level", "cell"]).filter((F.col("level") < F.col("own")) | (F.col("tile_a") <= F.col("tile_b")))
+    return met.filter(apart <= reach * reach).select("tile_a", "tile_b", "dim")
+
+
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal label whose cosine, in double precision, is threshold at least.
 
@@ -146,9 +171,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int
             yield tiled()
 
     tiles = cuts.write(sorted_rows.mapInArrow(gather, f"tile long, label {label_type}, dim int, lo array<double>, hi array<double>, ids array<string>, copies array<long>, vecs binary"))
-    a, b = (tiles.select("label", "dim", *(F.col(c).alias(f"{c}_{side}") for c in ("tile", "lo", "hi"))) for side in "ab")
-    apart = F.aggregate(F.zip_with(F.arrays_zip("lo_a", "hi_a"), F.arrays_zip("lo_b", "hi_b"), lambda p, q: F.greatest(F.lit(0.0), p.lo_a - q.hi_b, q.lo_b - p.hi_a)), F.lit(0.0), lambda s, g: s + g * g)
-    pairs = cuts.write(a.join(b, ["label", "dim"]).filter("tile_a <= tile_b").filter(apart <= reach * reach).select("tile_a", "tile_b", "dim"))
+    pairs = cuts.write(_near_tiles(tiles, reach))
     sides = [tiles.select(*(F.col(c).alias(f"{c}_{side}") for c in ("tile", "ids", "copies", "vecs"))) for side in "ab"]
     met = pairs.join(sides[0], "tile_a").join(sides[1], "tile_b").select("tile_a", "tile_b", "dim", "ids_a", "copies_a", "vecs_a", "ids_b", "copies_b", "vecs_b")
 
