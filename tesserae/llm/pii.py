@@ -1,12 +1,14 @@
 """Personal data by patterns of characters and, bootstrapped from them, of context.
 
 1. A narrow pass finds e-mail and IP addresses, card and phone numbers by
-   their form. It also notes the two words before each and before every other
-   token that looks like an identifier.
+   their form. It also notes the two words before and the two words after
+   each of them, and each other token of LEAST_TOKEN characters at least that
+   holds a digit or an @.
 2. Spark scores the graph of contexts and tokens in rounds. A context is as
-   confident about a kind as the distinct tokens it stands before are known
-   to be of that kind; a token that enough confident contexts stand before
-   becomes known itself and counts in the next round.
+   confident about a kind as the distinct tokens it stands beside are known
+   to be of that kind; a token that enough confident contexts stand beside
+   becomes known itself and counts in the next round. Rounds end when nothing
+   new is found.
 3. Tokens so discovered become spans of the kind of their contexts.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -21,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Cuts, read, unused
+from tesserae.llm.tokens import texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; a context or token counts from this confidence on; doubts added to each context's tokens.
-ROUNDS, CONFIDENT, DOUBT = 3, 0.8, 2.0
+#: A context or token counts from this confidence on; doubts added to each context's tokens.
+CONFIDENT, DOUBT = 0.8, 2.0
+#: Characters of the shortest token that can be discovered.
+LEAST_TOKEN = 5
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -75,17 +81,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _context(text: str, start: int) -> str:
-    """The two words before a position, as far as the text has them."""
-    words = [w.strip(EDGES) for w in text[max(0, start - 200) : start].lower().split()]
-    return " ".join(["^", "^", *filter(None, words)][-2:])
+def _words(part: str) -> list[str]:
+    return [w for x in part.lower().split() if (w := x.strip(EDGES))]
+
+
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    """The two words before a span and the two after it, "^" where the text ends."""
+    size, before = 64, []
+    while len(before) < 2:
+        at = max(0, start - size)
+        before, size = _words(text[at:start] if not at else text[at:start].partition(" ")[2]), size * 8
+        if not at:
+            before = ["^", "^", *before]
+    size, after = 64, []
+    while len(after) < 2:
+        at = min(len(text), end + size)
+        after, size = _words(text[end:at] if at == len(text) else text[end:at].rpartition(" ")[0]), size * 8
+        if at == len(text):
+            after += ["^", "^"]
+    return [" ".join([*before[-2:], "<"]), " ".join([">", *after[:2]])]
 
 
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Identifiers with their contexts: those found by form (kind set) and tokens that look like one (kind null)."""
     if not ANY.search(text):
         return []
-    out = [{"start": s, "end": e, "kind": KINDS[k], "token": text[s:e].lower(), "context": _context(text, s)} for s, k, e in spans]
+    out = [{"start": s, "end": e, "kind": KINDS[k], "token": text[s:e].lower(), "contexts": _contexts(text, s, e)} for s, k, e in spans]
     at = 0
     for m in TOKEN.finditer(text):
         token = m.group()
@@ -96,8 +117,8 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         end = start + len(core)
         while at < len(spans) and spans[at][0] < start and spans[at][2] <= start:
             at += 1
-        if len(core) >= 5 and not any(s < end and start < e for s, _, e in spans[at:] if s < end):
-            out.append({"start": start, "end": end, "kind": None, "token": core.lower(), "context": _context(text, start)})
+        if len(core) >= LEAST_TOKEN and not any(s < end and start < e for s, _, e in spans[at:] if s < end):
+            out.append({"start": start, "end": end, "kind": None, "token": core.lower(), "contexts": _contexts(text, start, end)})
     return out
 
 
@@ -106,40 +127,37 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-MENTION = "struct<start:long,end:long,kind:string,token:string,context:string>"
+MENTION = "struct<start:long,end:long,kind:string,token:string,contexts:array<string>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """For rows (id, text): id, mark (hash of the text), spans by form (start, kind, end) and mentions."""
+    """For rows (id, mark, text): id, mark, spans by form (start, kind, end) and mentions."""
     id_type = docs.dtypes[0][1]
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    mention = pa.struct([("start", pa.int64()), ("end", pa.int64()), *((n, pa.string()) for n in ("kind", "token", "context"))])
+    mention = pa.struct([("start", pa.int64()), ("end", pa.int64()), *((n, pa.string()) for n in ("kind", "token")), ("contexts", pa.list_(pa.string()))])
 
     def find(batches):
-        from xxhash import xxh3_128_hexdigest
-
         for batch in batches:
-            marks, spans, seen = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            spans, seen = [], []
+            for text in texts_of(batch.column(2)):
+                text = (text or b"").decode()
                 found = base_spans(text)
-                marks.append(xxh3_128_hexdigest(text.encode()))
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
                 seen.append(mentions(text, found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks), pa.array(spans, pa.list_(span)), pa.array(seen, pa.list_(mention))], names=["id", "mark", "spans", "mentions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(seen, pa.list_(mention))], names=["id", "mark", "spans", "mentions"])
 
     return docs.mapInArrow(find, f"id {id_type}, mark string, spans array<struct<start:long,kind:int,end:long>>, mentions array<{MENTION}>")
 
 
-def discover(edges: DataFrame, cuts: Cuts, rounds: int = ROUNDS, confident: float = CONFIDENT, doubt: float = DOUBT) -> DataFrame:
+def discover(edges: DataFrame, cuts: Cuts, confident: float = CONFIDENT, doubt: float = DOUBT) -> DataFrame:
     """(token, kind) of the tokens that confident contexts discover.
 
     edges: distinct (context, token) with a column for each kind, 1 where
     the token is of it by form.
     """
     total = lambda k: F.least(F.lit(1.0), F.col(k))
-    found = None
-    for _ in range(rounds):
+    found, known = None, 0
+    while True:
         state = edges
         if found is not None:
             state = edges.join(found.withColumnRenamed("kind", "new"), "token", "left").select("context", "token", "form", *(F.greatest(k, (F.coalesce("new", F.lit("")) == k).cast("double")).alias(k) for k in KINDS))
@@ -151,10 +169,10 @@ def discover(edges: DataFrame, cuts: Cuts, rounds: int = ROUNDS, confident: floa
         tokens = edges.filter("not form").join(scored, "context").groupBy("token").agg(*((1 - F.exp(F.sum(F.log1p(-sure(k))))).alias(k) for k in KINDS))
         best = F.array_max(F.array(*(F.struct(F.col(k).alias("p"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS))))
         new = cuts.write(tokens.select("token", best.alias("best")).filter(F.col("best.p") >= confident).select("token", "best.kind"))
-        if new.isEmpty():
+        count = new.count()
+        if count == known:
             return new
-        found = new
-    return found
+        found, known = new, count
 
 
 def personal_data(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,63 +185,70 @@ def personal_data(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col:
     are searched like any other. Other columns are not read. Discovered
     spans never overlap those found by form.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = cuts.write(scan(rows))
+    found, more = _found(docs, cuts, id_col, text_col)
+    both = found.join(more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("mark") == F.col("more_mark")), "left")
+    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "more")))
+    return both.select("id", "mark", F.col("spans").alias("base"), spans.alias("spans"))
+
+
+def _mark(text_col: str):
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def _found(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The scan of docs, and (more_id, more_mark, more) of the texts in which contexts discover spans, a row for each text."""
+    found = cuts.write(scan(docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))))
     each = found.filter(F.size("mentions") > 0).select("id", "mark", F.explode("mentions").alias("m")).select("id", "mark", "m.*")
     kinds = [F.max((F.coalesce("kind", F.lit("")) == k).cast("double")).alias(k) for k in KINDS]
-    edges = cuts.write(each.groupBy("context", "token").agg(F.max(F.col("kind").isNotNull()).alias("form"), *kinds))
+    pairs = each.select(F.explode("contexts").alias("context"), "token", "kind")
+    edges = cuts.write(pairs.groupBy("context", "token").agg(F.max(F.col("kind").isNotNull()).alias("form"), *kinds))
     new = discover(edges, cuts)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("known")).cast("int") - 1
-    # a row for each text: equal rows get the same spans
+    # equal rows get the same spans
     more = each.filter("kind is null").join(new.withColumnRenamed("kind", "known"), "token")
     more = more.groupBy(F.col("id").alias("more_id"), F.col("mark").alias("more_mark")).agg(F.sort_array(F.collect_set(F.struct("start", order.alias("kind"), "end"))).alias("more"))
-    more = cuts.write(more)
-    both = found.join(more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("mark") == F.col("more_mark")), "left")
-    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "more")))
-    return both.select("id", "mark", F.col("spans").alias("base"), spans.alias("spans"))
+    return found, cuts.write(more)
 
 
 def as_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def redact(text: str, spans: list[dict]) -> str:
-    """The text with each span replaced by its kind in brackets; overlapping spans become one of the first's kind."""
+def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span (start, kind, end) replaced by its kind in brackets; overlapping spans become one of the first's kind."""
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], s["kind"])):
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-        at = max(at, s["end"])
+    for start, kind, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with personal data replaced in text_col and all other columns as they are; null texts stay null."""
-    cuts = Cuts(docs.sparkSession, "redaction")
-    found = personal_data(docs, cuts, id_col, text_col)
-    columns = docs.columns
-    mark_col, spans_col, found_id, found_mark = (unused(n, columns) for n in ("mark", "spans", "found_id", "found_mark"))
-    marked = found.filter(F.size("spans") > 0).select(F.col("id").alias(found_id), F.col("mark").alias(found_mark), F.col("spans").alias(spans_col)).distinct()
-    marked = cuts.write(marked)
-
-    def mark(batches):
-        from xxhash import xxh3_128_hexdigest
+    """docs with personal data replaced in text_col and all other columns as they are; null texts stay null.
 
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.append_column(mark_col, pa.array([xxh3_128_hexdigest((t or "").encode()) for t in texts]))
+    Spans by form are found and replaced in one narrow pass. Only where
+    contexts discover any do documents meet a table of those, by id and hash
+    of the text.
+    """
+    _, more = _found(docs, Cuts(docs.sparkSession, "redaction"), id_col, text_col)
+    columns = docs.columns
+    more_col, found_id, found_mark = (unused(n, columns) for n in ("more", "found_id", "found_mark"))
 
-    def replace(batches):
-        for batch in batches:
-            at, spans = batch.schema.get_field_index(text_col), batch.column(batch.schema.get_field_index(spans_col)).to_pylist()
-            texts = [redact(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
-            kept = [batch.column(k) if k != at else pa.array(texts, batch.column(at).type) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(kept, names=columns)
+    @F.arrow_udf("string")
+    def replace(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, more in batches:
+            more = more.to_pylist()
+            whole = ((t.decode(), m) if t is not None else (None, m) for t, m in zip(texts_of(texts), more))
+            yield pa.array([t and redact(t, base_spans(t) + [(s["start"], s["kind"], s["end"]) for s in m or []]) for t, m in whole], pa.string())
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    hashed = docs.mapInArrow(mark, f"{fields}, `{mark_col}` string")
-    met = hashed.join(marked, F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(mark_col) == F.col(found_mark)), "left")
-    return met.select(*columns, spans_col).mapInArrow(replace, fields)
+    span_type = dict(more.dtypes)["more"]
+    if more.isEmpty():
+        met = docs.withColumn(more_col, F.lit(None).cast(span_type))
+    else:
+        more = more.select(F.col("more_id").alias(found_id), F.col("more_mark").alias(found_mark), F.col("more").alias(more_col))
+        met = docs.join(more, F.col(id_col).eqNullSafe(F.col(found_id)) & (_mark(text_col) == F.col(found_mark)), "left")
+    return met.withColumn(text_col, replace(text_col, more_col)).select(columns)
 
 
 def op9_personal_data(spark, sf_dir):
@@ -234,4 +259,5 @@ def op9_personal_data(spark, sf_dir):
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
         as_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
