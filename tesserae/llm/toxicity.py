@@ -9,12 +9,15 @@ whole texts with a bounded table of word weights.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import read
+from tesserae.llm.tokens import texts_of
 
 #: At most so many labelled rows train the chain, those with the smallest hashes; it is fitted in this many folds.
 SAMPLE, FOLDS = 8_000, 3
@@ -25,6 +28,9 @@ BEGINNINGS = (4, 5, 6)
 #: Strength of the penalty on weights, and steps of the fit.
 PENALTY, STEPS = 0.3, 150
 
+#: Bytes of the longest text that trains.
+LONGEST = 1 << 16
+
 #: Log odds of a category that no label tells of: nothing is in it.
 UNKNOWN = -30.0
 
@@ -38,6 +44,10 @@ def features_of(text: bytes | None) -> list[set[bytes]]:
     return [words, *({w[:n] for w in words if len(w) > n} for n in BEGINNINGS)]
 
 
+def sigmoid(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 class Chain:
     """Linear models of categories; weights[k][w] holds the weights of feature w of kind k (words, then beginnings)."""
 
@@ -45,11 +55,11 @@ class Chain:
         self.names = names
         self.weights: list[dict[bytes, np.ndarray]] = [{} for _ in range(1 + len(BEGINNINGS))]
         self.bias = np.full(len(names), UNKNOWN)
-        self.earlier = np.zeros((len(names), len(names)))  # [later, earlier], on log odds
+        self.earlier = np.zeros((len(names), len(names)))  # [later, earlier], on probabilities
 
-    def scores(self, texts) -> np.ndarray:
-        """Probability of each category for each text."""
-        out, zero = np.zeros((len(texts), len(self.names))), np.zeros(len(self.names))
+    def scores(self, texts, n: int) -> np.ndarray:
+        """Probability of each category for each of n texts."""
+        out, zero = np.zeros((n, len(self.names))), np.zeros(len(self.names))
         for k, text in enumerate(texts):
             for weights, found in zip(self.weights, features_of(text)):
                 out[k] += sum((weights[w] for w in sorted(weights.keys() & found)), zero)
@@ -57,10 +67,9 @@ class Chain:
 
     def chained(self, sums: np.ndarray) -> np.ndarray:
         """Probabilities from the sums of word weights, category by category."""
-        p, odds = np.zeros(sums.shape), np.zeros(sums.shape)
+        p = np.zeros(sums.shape)
         for c in range(len(self.names)):
-            odds[:, c] = np.clip(sums[:, c] + self.bias[c] + odds @ self.earlier[c], -30, 30)
-            p[:, c] = 1 / (1 + np.exp(-odds[:, c]))
+            p[:, c] = sigmoid(sums[:, c] + self.bias[c] + p @ self.earlier[c])
         return p
 
 
@@ -92,7 +101,7 @@ def fit_linear(x: Sparse, extra: np.ndarray, y: np.ndarray, use: np.ndarray) ->
     vw, ve, vb, t = w, e, b, 1.0
     for _ in range(STEPS):
         z = x.dot(vw) + extra @ ve + vb
-        r = use * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        r = use * (sigmoid(z) - y)
         nw, ne, nb = vw - (x.back(r) + PENALTY * vw) / bound_w, ve - (r @ extra + PENALTY * ve) / bound_e if len(ve) else ve, vb - r.sum() / bound_b
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, ve, vb = nw + (t - 1) / s * (nw - w), ne + (t - 1) / s * (ne - e), nb + (t - 1) / s * (nb - b)
@@ -125,49 +134,52 @@ def fit_chain(texts: list[bytes], labels: np.ndarray, names: list[str], folds: i
     rows, columns = rows[columns >= 0], columns[columns >= 0]
     x = Sparse(rows, columns, (len(texts), len(vocabulary)))
     fold = np.arange(len(texts)) % folds
-    odds = np.zeros((len(texts), 0))
+    p = np.zeros((len(texts), 0))
     weights = np.zeros((len(vocabulary), len(names)))
     for c in range(len(names)):
         y, use = positive[:, c], known[:, c]
-        weights[:, c], e, chain.bias[c] = fit_linear(x, odds, y, use)
+        weights[:, c], e, chain.bias[c] = fit_linear(x, p, y, use)
         chain.earlier[c, : len(e)] = e
         if not use.any():
             chain.bias[c] = UNKNOWN
         held = np.zeros(len(texts))
         if c + 1 < len(names):
             for f in range(folds):
-                w, e, b = fit_linear(x, odds, y, use & (fold != f))
-                held[fold == f] = (x.dot(w) + odds @ e + b)[fold == f]
-        odds = np.hstack([odds, np.clip(held, -30, 30)[:, None]])
+                w, e, b = fit_linear(x, p, y, use & (fold != f))
+                held[fold == f] = sigmoid(x.dot(w) + p @ e + b)[fold == f]
+        p = np.hstack([p, held[:, None]])
     for k, (kind, w) in enumerate(vocabulary):
         chain.weights[kind][w] = weights[k]
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE) -> Chain:
-    """Fits the chain on a bounded sample of labelled documents, in one task.
+def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE, longest: int = LONGEST) -> Chain:
+    """Fits the chain on a bounded sample of labelled documents.
 
     labels: doc_id and a column of 0, 1 or null for each name; a document
-    with several rows counts as positive if any says so. Texts longer than
-    64 kB are left out of the sample. A category without labels in the sample
-    has probability 0 for every text, so a chain that ends in it rejects
-    nothing.
+    with several rows counts as positive if any says so. The sample: of the
+    labelled ids the `sample` with the smallest hashes, and their texts of
+    `longest` bytes at most, so one task can fit it. A category without
+    labels in the sample has probability 0 for every text, so a chain that
+    ends in it rejects nothing.
     """
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(*(F.max(n).cast("double").alias(n) for n in names))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= 1 << 16).join(chosen, "doc_id").select("doc_id", "text", *names)
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(chosen, "doc_id").select("doc_id", "text", *names)
 
     def fit(batches):
         import pickle
 
-        table = pa.Table.from_batches(batches).sort_by("doc_id")
-        y = np.array([table[n].to_pylist() for n in names], float).T.reshape(-1, len(names))
-        chain = fit_chain(table["text"].cast(pa.binary()).to_pylist(), y, names)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            y = np.array([table[n].to_pylist() for n in names], float).T.reshape(-1, len(names))
+            chain = fit_chain(list(texts_of(table["text"])), y, names)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
 
     import pickle
 
-    row = rows.coalesce(1).mapInArrow(fit, "chain binary").first() if not rows.isEmpty() else None
+    row = rows.repartition(1).mapInArrow(fit, "chain binary").first()
     return pickle.loads(row[0]) if row else Chain(names)
 
 
@@ -184,21 +196,21 @@ def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
 
     def score(batches):
         for batch in batches:
-            p = np.round(chain.scores(batch.column(1).cast(pa.binary()).to_pylist()), 6)
+            p = np.round(chain.scores(texts_of(batch.column(1)), batch.num_rows), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=[id_col, *names, "rejected"])
 
     return rows.mapInArrow(score, f"`{id_col}` {rows.dtypes[0][1]}, {', '.join(f'`{n}` double' for n in names)}, rejected boolean")
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text isn't rejected."""
+    """The rows of docs, all columns as they are, whose text isn't rejected; a null text counts as empty."""
 
-    def keep(batches):
-        for batch in batches:
-            p = np.round(chain.scores(batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()), 6)
-            yield batch.filter(pa.array(p[:, -1] < threshold))
+    @F.arrow_udf("double")
+    def last(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.round(chain.scores(texts_of(texts), len(texts))[:, -1], 6))
 
-    return docs.mapInArrow(keep, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return docs.filter(last(text_col) < threshold)
 
 
 def train_on_labels(spark, docs: DataFrame, sf_dir: str) -> Chain:
