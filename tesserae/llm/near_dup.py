@@ -41,6 +41,8 @@ LEAST_PERCENT = 80
 WHOLE = 160
 #: Documents, and shingles, of a tile.
 TILE_DOCS, TILE_SHINGLES = 256, 400_000
+#: Rows of four numbers, counted beforehand, that go to all executors (about 30 MB) so that the texts needn't be shuffled to them.
+BROADCAST_ROWS = 500_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,8 +219,8 @@ def _candidates(reps: DataFrame, cuts: Cuts, percent: int, k: int, need: int) ->
     small = reps.filter(F.col("n") <= WHOLE).select("rep", "row", "n", F.lit(True).alias("whole"), "sketch")
     large = reps.filter(100 * F.col("n") > percent * WHOLE).select("rep", "row", "n", F.lit(False).alias("whole"), F.slice("sketch", 1, k).alias("sketch"))
     postings = small.unionByName(large).select("rep", "row", "n", "whole", F.explode("sketch").alias("v"))
-    lists = postings.groupBy("v", "whole").agg(F.count("*").alias("df"), F.min(F.struct("rep", "row", "n")).alias("lead"))
-    lists = cuts.write(lists.filter("df > 1").select("v", "whole", "df", F.col("lead.rep").alias("leader"), F.col("lead.row").alias("lead_row"), F.col("lead.n").alias("lead_n")))
+    lists = postings.groupBy("v", "whole").agg(F.count("*").alias("df"), F.min("rep").alias("leader"), F.min_by("row", "rep").alias("lead_row"), F.min_by("n", "rep").alias("lead_n"))
+    lists = cuts.write(lists.filter("df > 1"))
     postings = cuts.write(postings.join(lists, ["v", "whole"]))
     # what shares enough with the leader of its lists; what this misses, the lists below find
     stars = postings.filter("leader <> rep").groupBy("rep", "row", "leader", "lead_row", "whole").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("lead_n").alias("lead_n"))
@@ -320,7 +322,8 @@ def _verified(rows: DataFrame, reps: DataFrame, sure: DataFrame, groups: DataFra
     sized = cuts.write(sized.join(known(sure), "rep", "left").select("rep", "grp", "n", F.coalesce("known", "rep").alias("comp")))
     count = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     sized = cuts.write(sized.join(cuts.write(count.filter("lo < hi").select("grp", "tiles")), "grp"))
-    texts = cuts.write(rows.withColumnRenamed("id", "rep").join(sized.select("rep", "grp", "tiles", "comp"), "rep"))
+    sized = sized.select("rep", "grp", "tiles", "comp")
+    texts = cuts.write(rows.withColumnRenamed("id", "rep").join(F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized, "rep"))
 
     def verify(batches):
         for g in _groups(batches, ["grp", "ti", "tj"]):
