@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Cuts, read, unused
-from tesserae.llm.mixing import mix, quality_weights
+from tesserae.llm.mixing import first_words, mix, quality_weights
 from tesserae.llm.near_dup import near_duplicates
 from tesserae.llm.packing import pack
 from tesserae.llm.pii import redacted
@@ -19,6 +19,7 @@ from tesserae.llm.toxicity import train_on_labels, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the rows that a chain trained on `labels` doesn't reject, as they are: without usable labels all, null and empty texts by the chain's bias alone."""
     return without_toxic(docs, train_on_labels(spark, docs, sf_dir))
 
 
@@ -26,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps one row of each group of near copies: that with the smallest id (rows without an id come last), then key, then values of the other columns.
 
     A document is the rows with one id and one text; the key is a hash of
-    both. Texts without words have no copies and stay.
+    both. Texts without words have no copies and stay. Sets are of five words,
+    the usual width of this library, where op8 takes four by its contract.
     """
     cuts, (key, nth) = Cuts(spark, "near-copies"), (unused(n, docs.columns) for n in ("key", "nth"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
@@ -47,19 +49,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in texts by its kind in brackets and counts n_chars anew; all rows stay, null texts as null."""
     return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; rows that share an id go by the one taken most often."""
-    taken_id, repeats, nth = (unused(n, docs.columns) for n in ("taken_id", "repeats", "nth"))
-    taken = mix(docs, qualities=quality_weights(read(spark, sf_dir, "labels"))).groupBy(F.col("doc_id").alias(taken_id)).agg(F.max("repeats").alias(repeats))
-    taken = Cuts(spark, "mix").write(taken.filter(F.col(repeats) > 0))
+    """Repeats each document as often as the mix takes it; the document in which a source's target ends adds its first words. Rows that share an id go by the one taken most often."""
+    taken_id, found, nth = (unused(n, docs.columns) for n in ("taken_id", "found", "nth"))
+    taken = mix(docs, qualities=quality_weights(read(spark, sf_dir, "labels"))).groupBy(F.col("doc_id").alias(taken_id)).agg(F.max(F.struct("repeats", "part")).alias(found))
+    taken = Cuts(spark, "mix").write(taken.filter(F.col(found).repeats + F.col(found).part > 0))
     met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(taken_id)))
-    return met.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), repeats))).select(docs.columns)
+    repeats, part = F.col(found).repeats, F.col(found).part
+    one = F.lit(1).cast("long")
+    each = met.withColumn(nth, F.explode(F.sequence(one, repeats + F.when(part > 0, 1).otherwise(0))))
+    cut = F.col(nth) > repeats
+    each = each.withColumn("text", F.when(cut, first_words(F.col("text"), part.cast("int"))).otherwise(F.col("text")))
+    return each.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents (doc_id, start, length, ..) in sequences of 2048 tokens: every row is packed, those with null ids or texts too."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"), "word")
 
 

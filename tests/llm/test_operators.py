@@ -182,9 +182,11 @@ def test_mixing(spark, docs, rows, empty, with_labels, tmp_path):
     con.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
     con.sql(f"create view labels as select * from '{tmp_path}/l/*.parquet'")
     expected = sorted(con.sql(OP7_SQL).fetchall())
-    got = sorted(tuple(r) for r in mix(docs, qualities=quality_weights(labels)).drop("repeats").collect())
+    got = sorted(tuple(r) for r in mix(docs, qualities=quality_weights(labels)).drop("repeats", "part").collect())
     assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in expected]
     assert all(abs(a[3] - b[3]) < 1e-6 * max(1, b[3]) and a[4] <= 3 * a[1] for a, b in zip(got, expected))
+    for size, target, taken in {(r[2], r[3], sum(x[4] for x in got if x[2:4] == r[2:4])) for r in got}:
+        assert abs(taken - target) <= 0.5 or not size
     assert mix(empty).collect() == []
 
 
@@ -247,3 +249,27 @@ def test_encoders_agree_with_the_library():
             assert list(encoder.counts(raw)) == [len(x) for x in expected]
 
         agree()
+
+
+def test_pairs_of_near_tiles(spark):
+    """All pairs of boxes within reach and no others, whatever their levels; compared with every pair."""
+    import numpy as np
+
+    from tesserae.llm.embed_dup import BOXED, _near_tiles
+
+    rng, reach = np.random.default_rng(4), 0.2
+    low = np.round(rng.uniform(-1, 1, (150, BOXED)), 3)
+    wide = rng.uniform(0, 0.05, (150, BOXED)) * (rng.random((150, BOXED)) < 0.7) + (rng.random((150, BOXED)) < 0.1)
+    low[:, 4:] *= 0.1
+    boxes = [(k, k % 2, 64, low[k].tolist(), (low[k] + wide[k]).tolist()) for k in range(150)]
+    got = sorted(tuple(sorted((r["tile_a"], r["tile_b"]))) for r in _near_tiles(spark.createDataFrame(boxes, "tile long, label int, dim int, lo array<double>, hi array<double>"), reach).collect())
+    gap = lambda a, b: sum(max(0.0, x0 - y1, y0 - x1) ** 2 for x0, x1, y0, y1 in zip(a[3], a[4], b[3], b[4]))
+    assert got == sorted((a[0], b[0]) for a in boxes for b in boxes if a[0] <= b[0] and a[1] == b[1] and gap(a, b) <= reach * reach)
+
+
+def test_embedding_duplicates_of_null_and_repeated_ids(spark):
+    from tesserae.llm.embed_dup import embedding_duplicates
+
+    rows = [(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (5, [1.0, 0.1], 1), (6, [1.0, 0.0], None), (7, [0.0, 1.0], 1)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(0, 0, None, True), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False), (6, 0, 6, True), (7, 0, 7, True)]

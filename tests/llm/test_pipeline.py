@@ -50,3 +50,22 @@ def test_whole_and_empty(spark, docs, tmp_path):
     nothing = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, nothing, SF).collect() == []
+
+
+def test_stages_on_repeated_long_and_clashing_rows(spark):
+    """Every stage keeps the columns of its input, whatever their names, and handles repeated rows and a text of 150,000 words."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"v{k % 4999}" for k in range(150_000))
+    rows = [(1, "the same text of a few words a@b.org", "en", "x", 36), (1, "the same text of a few words a@b.org", "en", "x", 36), (2, long, "en", "x", len(long)), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("id", "key", "nth", "rep", "more", "found", "taken_id", "spans", "mark", "repeats", "part", "v"):
+        docs = docs.withColumn(name, F.lit("k"))
+    sizes = {}
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        sizes[name] = out.count()
+        if name != "packing":
+            assert out.columns == docs.columns
+    assert sizes["toxicity"] == 4 and sizes["near_dedup"] == 3 and sizes["personal_data"] == 4 and sizes["mixing"] >= 3
+    assert sizes["packing"] > 70

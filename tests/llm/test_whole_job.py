@@ -180,3 +180,58 @@ def test_nearest_reads_part_of_the_index():
     plain = np.abs(rank[:, None, :] - rank[None, :, :]).sum(axis=2)
     got = footrule(order, order, 50)
     assert (np.argsort(got[3], kind="stable") == np.argsort(plain[3], kind="stable")).all() and len(set((plain - got).ravel())) == 1
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tesserae.llm.common import shared_dir
+
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn")))
+
+
+def test_nearest_with_few_candidates_and_repeated_ids(spark):
+    """All candidates where they are fewer than k; rows that share an id are one candidate, its best."""
+    from tesserae.llm.ann import nearest
+
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.0, 0.0])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 0.707107), (0, 2, 2, -1.0)]
+
+
+def test_toxicity_of_null_and_repeated_rows(spark):
+    """Repeated labels count as positive if any is; rows with null ids and texts are scored; equal texts get equal scores."""
+    from tesserae.llm.toxicity import toxicity, train
+
+    docs = spark.createDataFrame([(k, f"vile nasty words {k}" if k % 2 else f"kind gentle words {k}") for k in range(60)] + [(None, "vile nasty words"), (None, None), (3, "vile nasty words 3")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(60)] + [(k, 0, 0) for k in range(60)] + [(None, 1, 1)], "doc_id long, low_quality int, toxic int")
+    got = toxicity(docs, train(docs, labels, ["low_quality", "toxic"])).collect()
+    assert len(got) == 63
+    assert {r["doc_id"] for r in got if r["rejected"]} == {None, *range(1, 60, 2)} and sum(r["doc_id"] is None and r["rejected"] for r in got) == 1
+    assert len({r["p_toxic"] for r in got if r["doc_id"] == 3}) == 1
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    from tesserae.llm.mixing import first_words, mix
+
+    rows = [(None, "a b c", "x"), (None, "a b c", "x"), (1, "one two three four", "y"), (1, "one two three four", "y"), (2, "w " * 50, None), (3, None, None), (4, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    for target in {r["target"] for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == target) - target) <= 0.5
+    cut = docs.filter("doc_id = 1").select(first_words(F.lit(" a  b\n c d"), F.lit(3)).alias("t")).first()["t"]
+    assert cut == " a  b\n c"
+
+
+def test_contexts_in_very_long_texts(spark):
+    """Words before and after an identifier are found however far off, and without reading the text anew for each."""
+    from tesserae.llm.common import Cuts
+    from tesserae.llm.pii import personal_data
+
+    gap, filler = " " * 5000, " ".join(f"w{k}" for k in range(200_000))
+    rows = [(k, f"{filler if k == 7 else ''} my account number:{gap}+44 20 7946 0{k:03d}{gap}is in use {filler if k == 8 else ''}") for k in range(40)]
+    rows += [(100, f"{filler} my account number:{gap}020-7946-0958{gap}is in use"), (101, f"{filler} some other thing: 020-7946-1111 then")]
+    found = {r["id"]: [(s["kind"], s["end"] - s["start"]) for s in r["spans"]] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string"), Cuts(spark, "test")).collect()}
+    assert found[100] == [(3, 13)] and found[101] == [] and all(found[k] == [(3, 16)] for k in range(40))
