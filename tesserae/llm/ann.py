@@ -24,7 +24,7 @@ A_ROOT, PIVOTS = 6, 16_384
 #: Nearest pivots whose order is compared.
 ORDERED = 32
 #: Files that a vector is posted in, files that a query reads, part of a file that is reranked.
-POSTED, PROBED, RERANKED = 4, 96, 0.5
+POSTED, PROBED, RERANKED = 4, 128, 0.6
 #: Vectors of one block of a file, and queries compared with it at a time; values of a step of the comparison.
 BLOCK, QUERIES, STEP = 8192, 2048, 1 << 22
 

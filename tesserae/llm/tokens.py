@@ -19,8 +19,8 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of the pieces that a worker remembers, with their ids; beyond it, the table starts anew. Longer pieces than LONGEST are never kept.
-TABLE_BYTES, LONGEST = 128 << 20, 64
+#: Bytes of the pieces that a worker remembers, with their ids, about: half of them in the table, which starts anew when it is full, half in the one before, from which pieces that recur come back. Longer pieces than LONGEST are never kept.
+TABLE_BYTES, LONGEST = 160 << 20, 64
 #: Bytes that Python takes for an entry besides its piece and ids, about.
 ENTRY = 170
 #: Bytes of text handled at a time within a batch; longer texts are cut at white space.
@@ -67,6 +67,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.table: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.held, self.long = 0, []
         self.mark = self._ids([f" {MARK}"])[0]
         self.joinable = len(self.mark) == (1 if kind == "word" else 2)
@@ -141,9 +142,12 @@ class Encoder:
         self.long = []
         wanted = set().union(*lists)
         new = wanted.difference(self.table)
-        if new and self.held > TABLE_BYTES:
-            self.table.clear()
-            self.held, new = 0, wanted
+        if new and self.held > TABLE_BYTES // 2:
+            self.before, self.table, self.held, new = self.table, {}, 0, wanted
+        for piece in self.before.keys() & new:
+            ids = self.table[piece] = self.before[piece]
+            self.held += len(piece) + len(ids) + ENTRY
+        new = new.difference(self.table)
         if new:
             self._learn(new)
 

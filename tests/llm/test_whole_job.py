@@ -204,12 +204,12 @@ def test_toxicity_of_null_and_repeated_rows(spark):
     """Repeated labels count as positive if any is; rows with null ids and texts are scored; equal texts get equal scores."""
     from tesserae.llm.toxicity import toxicity, train
 
-    docs = spark.createDataFrame([(k, f"vile nasty words {k}" if k % 2 else f"kind gentle words {k}") for k in range(60)] + [(None, "vile nasty words"), (None, None), (3, "vile nasty words 3")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(60)] + [(k, 0, 0) for k in range(60)] + [(None, 1, 1)], "doc_id long, low_quality int, toxic int")
+    docs = spark.createDataFrame([(k, f"vile nasty words {k}" if k % 3 == 1 else f"kind gentle words {k}") for k in range(60)] + [(None, "vile nasty words"), (None, None), (4, "vile nasty words 4")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 1)) for k in range(60)] + [(k, 0, 0) for k in range(60)] + [(None, 1, 1)], "doc_id long, low_quality int, toxic int")
     got = toxicity(docs, train(docs, labels, ["low_quality", "toxic"])).collect()
     assert len(got) == 63
-    assert {r["doc_id"] for r in got if r["rejected"]} == {None, *range(1, 60, 2)} and sum(r["doc_id"] is None and r["rejected"] for r in got) == 1
-    assert len({r["p_toxic"] for r in got if r["doc_id"] == 3}) == 1
+    assert {r["doc_id"] for r in got if r["rejected"]} == {None, *range(1, 60, 3)} and sum(r["doc_id"] is None and r["rejected"] for r in got) == 1
+    assert len({r["p_toxic"] for r in got if r["doc_id"] == 4}) == 1
 
 
 def test_mixing_of_null_and_repeated_ids(spark):
@@ -234,4 +234,4 @@ def test_contexts_in_very_long_texts(spark):
     rows = [(k, f"{filler if k == 7 else ''} my account number:{gap}+44 20 7946 0{k:03d}{gap}is in use {filler if k == 8 else ''}") for k in range(40)]
     rows += [(100, f"{filler} my account number:{gap}020-7946-0958{gap}is in use"), (101, f"{filler} some other thing: 020-7946-1111 then")]
     found = {r["id"]: [(s["kind"], s["end"] - s["start"]) for s in r["spans"]] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string"), Cuts(spark, "test")).collect()}
-    assert found[100] == [(3, 13)] and found[101] == [] and all(found[k] == [(3, 16)] for k in range(40))
+    assert found[100] == [(3, 13)] and found[101] == [] and all((3, 16) in found[k] for k in range(40))
