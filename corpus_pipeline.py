@@ -19,7 +19,7 @@ from tesserae.llm.toxicity import train_on_labels, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows that a chain trained on `labels` doesn't reject, as they are: without usable labels all, null and empty texts by the chain's bias alone."""
+    """Keeps the rows that a chain trained on `labels` doesn't reject, as they are: without usable labels all; texts without words, null ones too, stay."""
     return without_toxic(docs, train_on_labels(spark, docs, sf_dir))
 
 

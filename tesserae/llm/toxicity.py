@@ -58,10 +58,14 @@ class Chain:
         self.earlier = np.zeros((len(names), len(names)))  # [later, earlier], on probabilities
 
     def scores(self, texts, n: int) -> np.ndarray:
-        """Probability of each category for each of n texts."""
+        """Probability of each category for each of n texts; of a text without words, 0."""
         out, zero = np.zeros((n, len(self.names))), np.zeros(len(self.names))
         for k, text in enumerate(texts):
-            for weights, found in zip(self.weights, features_of(text)):
+            features = features_of(text)
+            if not features[0]:
+                out[k] = -np.inf
+                continue
+            for weights, found in zip(self.weights, features):
                 out[k] += sum((weights[w] for w in sorted(weights.keys() & found)), zero)
         return self.chained(out)
 
@@ -188,7 +192,8 @@ def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
 
     Returns one row for each input row: id_col, p_<name> for each category in
     the order of the chain, and rejected (the last category's probability
-    reaches threshold). A null text counts as empty. Rows with null or
+    reaches threshold). A null text counts as empty; a text without words
+    has probability 0 of all categories. Rows with null or
     repeated ids are scored like any other; other columns are not read.
     """
     rows = docs.select(F.col(id_col), F.col(text_col))
@@ -203,7 +208,7 @@ def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text isn't rejected; a null text counts as empty."""
+    """The rows of docs, all columns as they are, whose text isn't rejected; texts without words, null ones too, stay."""
 
     @F.arrow_udf("double")
     def last(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
