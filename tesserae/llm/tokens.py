@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of the pieces that a worker remembers, with their ids, about: half of them in the table, which starts anew when it is full, half in the one before, from which pieces that recur come back. Longer pieces than LONGEST are never kept.
-TABLE_BYTES, LONGEST = 160 << 20, 64
+TABLE_BYTES, LONGEST = 200 << 20, 64
 #: Bytes that Python takes for an entry besides its piece and ids, about.
 ENTRY = 170
 #: Bytes of text handled at a time within a batch; longer texts are cut at white space.
