@@ -235,3 +235,22 @@ def test_contexts_in_very_long_texts(spark):
     rows += [(100, f"{filler} my account number:{gap}020-7946-0958{gap}is in use"), (101, f"{filler} some other thing: 020-7946-1111 then")]
     found = {r["id"]: [(s["kind"], s["end"] - s["start"]) for s in r["spans"]] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string"), Cuts(spark, "test")).collect()}
     assert found[100] == [(3, 13)] and found[101] == [] and all((3, 16) in found[k] for k in range(40))
+
+
+def test_words_go_to_the_library_without_separators():
+    """Each new word once and bare, also across tables that start anew; ids equal the library's."""
+    import brute
+    import numpy as np
+
+    from tesserae.llm import tokens
+
+    encoder, library, asked = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"), "byte"), brute.tokenizer("byte_bpe_50k.json"), []
+    ids = encoder._ids
+    encoder._ids = lambda texts: asked.extend(texts) or ids(texts)
+    texts = ["foo bar, foo", " bar  foo\n", "foo \x01 it's\tbar, é<|endoftext|>é ", "bar, Ġ foo"]
+    for _ in range(3):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(t.encode() for t in texts)]
+        assert got == [brute.token_ids(library, t) for t in texts]
+        encoder.table.held = tokens.TABLE_BYTES
+    words = [w for t in asked for w in t.split(" ") if w]
+    assert words.count("it's") == words.count("Ġ") == 1 and all(tokens.MARK not in t for t in asked if "it's" not in t and "Ġ" in t)
